@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +40,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each application."""
+    sc, package = spark.sparkContext, Path(__file__).parents[1]
+    if "prosegrain.zip" in sc._python_includes:
+        return
+    path = Path(tempfile.mkdtemp(prefix="prosegrain-ship-")) / "prosegrain.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
-    """Arrow batches of so many rows and MB at most, so that a run of long texts cannot fill a worker."""
+    """Arrow batches of so many rows and MB at most, so that a run of long texts cannot fill a worker. What every operator
+    with Python on the executors calls first, so it ships the package too."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
 

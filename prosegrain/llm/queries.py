@@ -12,6 +12,7 @@ from prosegrain.llm.common import table
 from prosegrain.llm.mixing import mix_plan
 from prosegrain.llm.quality_rules import quality_rules
 from prosegrain.llm.sharding import shards
+from prosegrain.llm.simhash import simhash_components
 from prosegrain.llm.token_counts import token_counts
 
 
@@ -23,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_mixing, op5_url_filters, op9_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash, op4_mixing, op5_url_filters, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
