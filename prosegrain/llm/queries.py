@@ -14,6 +14,7 @@ from prosegrain.llm.quality_rules import quality_rules
 from prosegrain.llm.sharding import shards
 from prosegrain.llm.simhash import simhash_components
 from prosegrain.llm.token_counts import token_counts
+from prosegrain.llm.token_files import token_files
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +38,16 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filters(table(spark, sf_dir, "pages"), listed)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash, op4_mixing, op5_url_filters, op9_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash, op4_mixing, op5_url_filters, op7_token_files, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
