@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prosegrain.llm import url_filters as urls
 from prosegrain.llm.common import table
+from prosegrain.llm.decontamination import contaminated
 from prosegrain.llm.mixing import mix_plan
 from prosegrain.llm.quality_rules import quality_rules
 from prosegrain.llm.sharding import shards
@@ -42,12 +43,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash, op4_mixing, op5_url_filters, op7_token_files, op9_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash, op4_mixing, op5_url_filters, op7_token_files, op8_decontamination, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
