@@ -11,11 +11,13 @@ from prosegrain.llm import url_filters as urls
 from prosegrain.llm.common import table
 from prosegrain.llm.decontamination import contaminated
 from prosegrain.llm.mixing import mix_plan
+from prosegrain.llm.quality_classifier import quality_classifier
 from prosegrain.llm.quality_rules import quality_rules
 from prosegrain.llm.sharding import shards
 from prosegrain.llm.simhash import simhash_components
 from prosegrain.llm.token_counts import token_counts
 from prosegrain.llm.token_files import token_files
+from prosegrain.llm.toxicity import toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filters(table(spark, sf_dir, "pages"), listed)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,8 +57,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash, op4_mixing, op5_url_filters, op7_token_files, op8_decontamination, op9_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash, op4_mixing, op5_url_filters, op6_toxicity, op7_token_files, op8_decontamination, op9_sharding, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
