@@ -1,3 +1,57 @@
-"""The corpus pipeline; its stages come with their operators."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, mixing, sharding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; the tables `labels` and `benchmark` come
+from sf_dir. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from prosegrain.llm.common import cut, table
+from prosegrain.llm.decontamination import without_benchmark
+from prosegrain.llm.mixing import mix
+from prosegrain.llm.sharding import shards
+from prosegrain.llm.simhash import one_of_each
+from prosegrain.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by shingles of five words, stays."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mix(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and the place in it of every row of the mix."""
+    return shards(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+
+#: SQL can express neither the learned lexicon nor the hashes; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, each stage's result being written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, f"stage-{name}")
+    return docs

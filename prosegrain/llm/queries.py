@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,7 +63,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash, op4_mixing, op5_url_filters, op6_toxicity, op7_token_files, op8_decontamination, op9_sharding, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash, op4_mixing, op5_url_filters, op6_toxicity, op7_token_files, op8_decontamination, op9_sharding, op10_quality_classifier)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
