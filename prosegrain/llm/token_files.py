@@ -17,13 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosegrain.llm.common import Batches, bound_batches, column, fresh_path, texts
+from prosegrain.llm.common import Batches, bound_batches, column, fresh_path
 
 MAGIC = b"PGIDS1\0\0"
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("at", "<u8"), ("length", "<u4"), ("ids", "<u4")])
@@ -32,6 +33,8 @@ FILE_BYTES, FILE_DOCS = 32 << 20, 100_000
 #: The dictionary is trained on the heads of so many documents, chosen by hash; it only moves the compression rate.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 1000, 2000, 32 << 10
 CACHE = 700_000
+#: Stands for the ids of a word that cannot be cut out of its text; no ids have its length.
+ODD = b"odd"
 
 
 class Encoder:
@@ -55,15 +58,19 @@ class Encoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.line_end = self.tok.encode("\n", add_special_tokens=False).ids
-        #: ids of words as they follow a space or, with it, a line end; None for what makes a text go whole.
-        self.seen: dict[str, bytes | None] = {}
+        #: ids of words as they follow a space or, with it, a line end, and of punctuation; ODD for what makes a text go whole.
+        self.seen: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
-    def ids(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+    def ids(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
 
     #: Printable ASCII or letters at both ends, so that a cut parts no run of white space.
     SAFE = re.compile(r"[!-~\u00c0-\u024f](.*[!-~\u00c0-\u024f])?", re.DOTALL)
 
+    #: Punctuation after a letter is a pre-token of its own (an apostrophe may not be), so it can be cut off.
+    TAIL = re.compile(r'(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,!?;:#$%&*|)"]+)', re.DOTALL)
+
     def learn(self, words: list[str], between: str) -> None:
         """words: without the space or line end before them."""
         for k in range(0, len(words), 500):
@@ -74,26 +81,55 @@ class Encoder:
             raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
             self.seen.update(zip(part if between == " " else ["\n" + w for w in part], (raw[i:j] for i, j in zip(at, at[1:]))))
 
-    def encode(self, docs: list[str]) -> list[bytes]:
-        """ids of each text as little-endian unsigned 32-bit numbers."""
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-        cut = {k: f"\n{x}".replace("\n", " \n").split(" ")[1:] for k, x in enumerate(docs) if self.cuts and len(self.line_end) == 1 and x and not any(a in x for a in self.added)}
-        new = [w for w in set().union(*cut.values()) if w not in seen]
-        inner = [w for w in new if self.SAFE.fullmatch(w)]
-        first = [w[1:] for w in new if w[:1] == "\n" and self.SAFE.fullmatch(w, 1)]
-        seen.update(dict.fromkeys(new))
-        self.learn(inner, " ")
-        self.learn(first, "\n")
-        out: list[bytes | None] = [None] * len(docs)
-        for k, words in cut.items():
-            try:
-                out[k] = b"".join(map(seen.__getitem__, words))[4:]  # the first line has no line end before it
-            except TypeError:  # a None: this text has a cut that is not safe
-                pass
-        whole = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(whole, self.ids([docs[k] for k in whole])):
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """ids of different words, or ODD."""
+        known = list(map(self.seen.get, words))
+        new = [k for k, x in enumerate(known) if x is None]
+        if len(self.seen) + len(new) > CACHE:  # what this batch has is worth keeping
+            self.seen = {w: x for w, x in zip(words, known) if x is not None}
+        seen, cut = self.seen, {k: m.groups() for k in new if (m := self.TAIL.fullmatch(words[k]))}
+        bases = {cut[k][0] if k in cut else words[k] for k in new}
+        bases = [w for w in bases if w not in seen]
+        safe = [w for w in bases if self.SAFE.fullmatch(w, w[:1] == "\n")]
+        seen.update(dict.fromkeys(bases, ODD))
+        self.learn([w for w in safe if w[0] != "\n"], " ")
+        self.learn([w[1:] for w in safe if w[0] == "\n"], "\n")
+        tails = [t for t in {t for _, t in cut.values()} if t not in self.tails]
+        self.tails.update(zip(tails, (x.tobytes() for x in self.ids(tails))))
+        for k in new:
+            if k in cut:
+                base = seen[cut[k][0]]
+                seen[words[k]] = base if base is ODD else base + self.tails[cut[k][1]]
+            known[k] = seen[words[k]]
+        return known
+
+    def encode(self, docs: pa.Array) -> list[np.ndarray]:
+        """ids of each text; a null is empty."""
+        docs = pc.fill_null(docs.cast(pa.large_string()), "")
+        if not len(docs) or not self.cuts or len(self.line_end) != 1:
+            return self.ids(docs.to_pylist())
+        # every word after one space, and a line end before those that begin a line; what stands before the first space is empty
+        words = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("", docs, "\n"))), "\n", " \n"), " ")
+        coded = words.flatten().dictionary_encode()
+        at, begin = np.asarray(coded.indices), np.asarray(words.offsets).astype(np.int64)
+        known = self.look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        odd = sizes == len(ODD)
+        sizes[odd] = 0
+        flat = np.frombuffer(b"".join(x for x in known if x is not ODD) if odd.any() else b"".join(known), dtype="<u4")
+        sizes //= 4
+        own = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], own) + np.arange(ends[-1])]
+        odd = odd[at]
+        odd[begin[:-1]] = False
+        whole = np.add.reduceat(odd, begin[:-1]) > 0
+        for a in self.added:
+            whole |= np.asarray(pc.match_substring(docs, a))
+        # the first line has no line end before it
+        out = [ids[i + 1 : j] for i, j in zip(ends[begin[:-1]].tolist(), ends[begin[1:]].tolist())]
+        again = np.flatnonzero(whole).tolist()
+        for k, x in zip(again, self.ids([docs[k].as_py() for k in again])):
             out[k] = x
         return out
 
@@ -105,21 +141,20 @@ def encoder(path: str) -> Encoder:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary trained on serialized id arrays; empty if there is nothing to train on."""
-    first = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
+    # a share of the hashes that holds a few times the sample, so that tasks send the driver little whatever the corpus
+    share = int(min(1.0, 4 * SAMPLE_DOCS / max(1, docs.count())) * (1 << 30))
+    hashed = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
+    first = hashed.where(F.pmod("h", F.lit(1 << 30)) <= share).orderBy("h").limit(SAMPLE_DOCS)
     enc = encoder(tokenizer)
-    samples = [x for x in (serialize(i + end(end_id), enc.width) for i in enc.encode([r["text"] for r in first.collect()])) if len(x) > 8]
+    samples = [x for x in (serialize(i, end_id, enc.width) for i in enc.encode(pa.array([r["text"] for r in first.collect()], pa.string()))) if len(x) > 8]
     try:
         return zstandard.train_dictionary(min(DICTIONARY, max(256, sum(map(len, samples)) // 8)), samples).as_bytes()
     except zstandard.ZstdError:  # too few or too like each other
         return b"".join(samples)[-DICTIONARY:]
 
 
-def end(end_id: int) -> bytes:
-    return end_id.to_bytes(4, "little")
-
-
-def serialize(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
+def serialize(ids: np.ndarray, end_id: int, width: int) -> bytes:
+    return np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
 
 
 def as_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -146,7 +181,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0
     One shuffle deals the texts out by ranges of doc_id; a task encodes and writes its range, file by file, and holds one file at
     most. A null text is empty and has the end id alone; rows of one doc_id follow each other by their text's hash.
     """
-    bound_batches(docs.sparkSession, rows=1000)
+    bound_batches(docs.sparkSession, rows=3000)
     dictionary = train_dictionary(docs, tokenizer, end_id)
     put(f"{uri}/dictionary", [dictionary])
 
@@ -162,10 +197,9 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (k, pa.int64()), (name, pa.string()), (len(index), pa.int64()), (sum(x[4] for x in index), pa.int64()))], names=["part", "k", "name", "docs", "ids"])
 
         for batch in batches:
-            for doc_id, ids in zip(column(batch, "doc_id"), enc.encode(texts(batch))):
-                ids += end(end_id)
-                frames.append(frame := press.compress(serialize(ids, enc.width)))
-                index.append((doc_id or 0, doc_id is not None, held, len(frame), len(ids) // 4))
+            for doc_id, ids in zip(column(batch, "doc_id"), enc.encode(batch.column(1))):
+                frames.append(frame := press.compress(serialize(ids, end_id, enc.width)))
+                index.append((doc_id or 0, doc_id is not None, held, len(frame), len(ids) + 1))
                 held += len(frame)
                 if held >= FILE_BYTES or len(index) >= FILE_DOCS:
                     yield flush()
