@@ -1,15 +1,155 @@
-"""Registry of the prose queries and of their DuckDB counterparts."""
+"""Registry of the prose queries and of their DuckDB counterparts.
+
+The corpus of the queries is the driver's documents in two forms, and the literal documents of `fixtures`. The first form has
+Japanese punctuation and a paragraph for each line, the second has kana for the twelve most frequent letters as well.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prosegrain.config import Config
+from prosegrain.operators import coinage, fixes, jargon, report, rules
+from prosegrain.operators.html import html_text
+from prosegrain.operators.scopes import exploded, scopes
+from prosegrain.plans import oracle
+from prosegrain.plans.check import check
+from prosegrain.plans.fixtures import DOCUMENTS, MORPHEMES
+from prosegrain.sources import documents, lexicons
+
+Query = Callable[[SparkSession, str], DataFrame]
+TERMS = ("campaign", "menu", "policy", "scope", "quota", "the", "en")
+DENIED = "禁句"
+
+
+def config(**more) -> Config:
+    return Config(metaphors=tuple(lexicons.pairs(lexicons.SHIPPED / "metaphors.tsv")), katakana=tuple(lexicons.pairs(lexicons.SHIPPED / "katakana.tsv")), deny={DENIED: "別の言葉"}, **more)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    plain: Column = F.replace(F.translate("text", *oracle.MARKS), F.lit("\n"), F.lit("\n\n"))
+    name = lambda x: F.concat(F.lit(x), F.col("doc_id").cast("string")).alias("file")
+    a = docs.select(name("a"), plain.alias("text"))
+    b = docs.select(name("b"), F.translate(F.lower(plain), oracle.ALPHABET, oracle.KANA).alias("text"))
+    return spark.createDataFrame(DOCUMENTS, "file string, text string").unionByName(a).unionByName(b)
+
+
+def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scopes(corpus(spark, sf_dir))
+
+
+def _rule(find: Callable[[DataFrame, Config], DataFrame], **settings) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = find(scoped(spark, sf_dir).withColumn("raw", F.col("text")), config(**settings))
+        return found.select("file", "line", F.round("value", 6).alias("value"), "word")
+
+    return query
+
+
+def _numbers(make: Callable[[DataFrame], DataFrame], *leave: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = make(scoped(spark, sf_dir)).drop(*leave)
+        return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))
+
+    return query
+
+
+def lines_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(scoped(spark, sf_dir), "clean").select("file", "line", "text")
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(scoped(spark, sf_dir), "sentences").select("file", "line", "seq", "text")
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(scoped(spark, sf_dir), "units").select("file", "line", "seq", "text", "is_bullet")
+
+
+def metaphor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.metaphor_counts(scoped(spark, sf_dir), config()).where("total > 0").select("file", "sentences", "total", "line", "vocabulary")
+
+
+def suppressed_exclamation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir)
+    found = rules.exclamation(scopes(docs), config()).withColumn("detector", F.lit("readability")).withColumn("rule", F.lit("exclamation"))
+    return report.unsuppressed(found, report.suppressions(docs, config().ignore_marker)).select("file", "line", F.round("value", 6).alias("value"), "word")
+
+
+def autofix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixes.fixed(corpus(spark, sf_dir))
+
+
+def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", html_text(spark, F.coalesce("html", F.lit(""))).alias("text"))
+
+
+def pages_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole check of every page, by rule."""
+    docs = documents.from_table(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html", "html")
+    return check(docs, config(register="consume", jargon=TERMS)).groupBy("detector", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+def conversation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlong sentences of every turn of every conversation."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = F.translate(F.coalesce("text", F.lit("")), *oracle.MARKS)
+    docs = turns.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("file"), text.alias("text"))
+    return rules.sentence_length(scopes(docs), config()).select("file", "line", "value")
+
+
+def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the literal documents by detector and rule, with subtotals."""
+    docs = spark.createDataFrame([(f, "md", t) for f, t in DOCUMENTS], "file string, kind string, raw string")
+    return report.rolled_up(check(docs, config(register="consume", jargon=TERMS))).select("detector", "rule", "n", "errors")
+
+
+def coinage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    morphemes = spark.createDataFrame(MORPHEMES, coinage.SCHEMA)
+    return coinage.coinages(morphemes).select("file", "line", "compound", F.array_join("components", "+").alias("components"), "strict")
+
+
+COINAGES = "select * from (values ('m1', 1::int, '家造語', '家+造語', true), ('m1', 2::int, '三床', '三+床', false), ('m1', 3::int, '測定法', '測定+法', false), ('m2', 1::int, 'slop軸', 'slop+軸', true), ('m2', 2::int, '機械床', '機械+床', true)) v(file, line, compound, components, strict)"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    every = lambda d, c: rules.latin_density(d, c, every=True)
+    return {
+        "lines_clean": lines_clean,
+        "sentences": sentences,
+        "units": units,
+        **{n: _rule(getattr(rules, n)) for n in "sentence_length max_ten double_negative hedge_pileup demonstrative_chain no_chain verbose_potential kanji_run exclamation style_mixing".split()},
+        **{n: _rule(getattr(rules, n)) for n in "bullet_template colon_continuation connector_pileup opener_repetition latin_density verb_calque bits_per_char low_information_density near_duplicate".split()},
+        "latin_density_all_units": _rule(every),
+        "latin_token_runs": _rule(rules.latin_token, register="consume"),
+        **{n: _rule(getattr(rules, n)) for n in "flat_rhythm uniform_paragraphs stylometric_uniformity metaphor_density arrow fullwidth_eq paren_nakaten unterminated_prose missing_counter".split()},
+        "denied_terms": _rule(rules.denied_term),
+        "slop_phrases": _rule(rules.slop_phrase),
+        "jargon_practice": _rule(jargon.jargon_export, register="practice", jargon=TERMS),
+        "jargon_consume": _rule(jargon.jargon_export, register="consume", jargon=TERMS),
+        "rhythm_stats": _numbers(rules.rhythm_stats, "first_sentence_line", "first_paragraph_line"),
+        "stylometric_indicators": _numbers(rules.stylometric_indicators),
+        "metaphor_counts": metaphor_counts,
+        "suppressed_exclamation": suppressed_exclamation,
+        "autofix": autofix,
+        "pages_text": pages_text,
+        "pages_findings": pages_findings,
+        "conversation_findings": conversation_findings,
+        "findings_summary": findings_summary,
+        "coinage_runs": coinage_runs,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    stems = [s for s, _ in lexicons.pairs(lexicons.SHIPPED / "metaphors.tsv")]
+    out = oracle.queries(stems, TERMS, DENIED)
+    turns = f"select cast(conv_id as varchar) || '/' || cast(turn as varchar) as file, translate(coalesce(text, ''), '{oracle.MARKS[0]}', '{oracle.MARKS[1]}') as text from conversations"
+    out["conversation_findings"] = f"{oracle.PRELUDE.replace(oracle.CORPUS, turns)} select file, cast(line as int) as line, cast(length(t) as double) as value from se where length(t) > 100"
+    return out | {"coinage_runs": COINAGES}
