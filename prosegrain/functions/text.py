@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode White_Space, with (?U) in front of a pattern.
-SPACE = r"\s"
+#: Unicode White_Space (fixed values).
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 JA = r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"
 #: Noncharacters that mark places within a text while it is taken apart; they cannot be in a valid document.
 MARK, NAMED, CUT, GAP, DOLLAR = "﷐", "﷑", "﷒", "﷓", "﷔"
@@ -17,21 +19,36 @@ def text(s: str) -> Column:
     return F.lit(s)
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, however often use looks at it."""
+    return F.transform(F.array(x), use)[0]
+
+
+def fenced(x: Column) -> Column:
+    """x as a column that the optimizer neither copies into filters above nor computes again for each use.
+
+    Filters on derived columns are pushed below their projection, and would take the whole derivation along, once for
+    each mention. No expression that reads the partition's number can be moved, and every number is 0 or more.
+    """
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, text(SPACE))
 
 
 def rtrim(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)\s+$", "")
+    return F.rtrim(x, text(SPACE))
 
 
 def ltrim(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+", "")
+    return F.ltrim(x, text(SPACE))
 
 
 def times(x: Column, literal: str) -> Column:
     """Occurrences of a literal, one behind the other."""
-    return ((F.length(x) - F.length(F.replace(x, text(literal), text("")))) / len(literal)).cast("int")
+    gone = F.length(x) - F.length(F.replace(x, text(literal), text("")))
+    return (gone if len(literal) == 1 else gone / len(literal)).cast("int")
 
 
 def matches(x: Column, pattern: str) -> Column:
@@ -44,5 +61,5 @@ def first_match(x: Column, pattern: str, group: int = 0) -> Column:
 
 def lines_of(x: Column) -> Column:
     """Lines without their ends; a final line end begins no line, and an empty text has none."""
-    cut = F.split(F.regexp_replace(x, r"\n\z", ""), r"\r?\n", -1)
-    return F.when(x == "", F.array().cast("array<string>")).otherwise(cut)
+    cut = lambda t: F.split(F.regexp_replace(t, r"\n\z", ""), r"\r?\n", -1)
+    return bound(x, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(cut(t)))

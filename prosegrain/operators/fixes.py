@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrain.functions.text import text, times
-from prosegrain.operators.rules import bound
+from prosegrain.functions.text import bound, text, times
 
 LONG, SHORT = "することができ", "でき"
 

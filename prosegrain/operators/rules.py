@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosegrain.config import UNITS, Config
-from prosegrain.functions.text import JA, first_match, ltrim, matches, rtrim, text, times, trim
+from prosegrain.functions.text import JA, bound, fenced, first_match, ltrim, matches, rtrim, text, times, trim
 from prosegrain.operators.scopes import BULLET, exploded
 
 CONNECTOR = "^(?:また|さらに|そして|加えて|一方|なお|ただし|つまり|次に|まず)、"
 HEDGE = "と思われ|と考えられ|かもしれ|のではないか|ではないだろうか|気がする|感じがする|ように思|ように見え|とみられ"
 DOUBLE_NEGATIVE = "なくはな|なくもな|ないことはな|ないとは[言い]えな|ないわけではな"
 DEMONSTRATIVE = "これ|それ|あれ|この|その|あの|ここ|そこ"
-CHAIN = r"(?U)(?:[^\s。、！？の]{1,12}の){3,}"
+#: Groups repeat possessively: Java matches other repeated groups by recursion, which a long line would exhaust.
+CHAIN = r"(?U)(?:[^\s。、！？の]{1,12}+の){3,}+"
 POLITE = "(?:です|ます|ません|でした|ました|ましょう|でしょう|ください)[。！？]$"
 PLAIN = "[ぁ-ん][。！？]$"
 INFLECTIONS = "する|します|した|して|している|していた|しています|しており|される|された|されて|されない|されました|できる|できた|できない|しない|しなかった|せず|しよう|すれば|すべき|しろ|せよ|させる|させます|させた|させて|させている|させたい|させない|させず|させよう|したい|したく|したければ"
@@ -39,11 +40,6 @@ def rows(d: DataFrame, value: Column | None = None, word: Column | None = None)
     return d.select("file", F.col("line").cast("int").alias("line"), F.col("seq").cast("int").alias("seq"), (nothing if value is None else value).cast("double").alias("value"), (nothing if word is None else word).cast("string").alias("word"))
 
 
-def bound(x: Column, use) -> Column:
-    """use(x) with x computed once, however often use looks at it."""
-    return F.transform(F.array(x), use)[0]
-
-
 # sentences
 
 
@@ -151,7 +147,7 @@ def latin_runs(x: Column, allowed: tuple[str, ...] = ()) -> Column:
     line = F.array_join(parts, "")
     if allowed:
         line = F.regexp_replace(line, "(?<![a-z])(?:" + "|".join(sorted(rf"\Q{w}\E" for w in allowed)) + ")(?![a-z])", "。")
-    return F.regexp_extract_all(line, F.lit("[a-z]{2,}(?:[ 　]+[a-z]{2,})*"), F.lit(0))
+    return F.regexp_extract_all(line, F.lit("[a-z]{2,}+(?:[ 　]++[a-z]{2,}+)*+"), F.lit(0))
 
 
 def latin_token(d: DataFrame, c: Config) -> DataFrame:
@@ -288,11 +284,12 @@ def near_duplicate(d: DataFrame, c: Config) -> DataFrame:
     letters = F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0))
     both = bound(letters, lambda cs: F.filter(F.transform(cs, lambda x, i: F.concat(x, F.get(cs, i + 1))), lambda b: b.isNotNull()))
     grams = own.select("file", "id", F.explode(both).alias("gram")).groupBy("file", "id", "gram").agg(F.count("*").alias("n"))
-    norms = grams.groupBy("file", "id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    norms = grams.groupBy("file", "id").agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("norm"))
     a, b = (grams.select("file", "gram", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     dots = a.join(b, ["file", "gram"]).where("a < b").groupBy("file", "a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("dot"))
     na, nb = (norms.select("file", F.col("id").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
-    close = dots.join(na, ["file", "a"]).join(nb, ["file", "b"]).withColumn("cosine", F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).where("cosine >= 0.65")
+    near = 400.0 * F.col("dot") * F.col("dot") >= 169.0 * F.col("norm_a") * F.col("norm_b")  # whole numbers, so a cosine of just 0.65 is not lost
+    close = dots.join(na, ["file", "a"]).join(nb, ["file", "b"]).where(near).withColumn("cosine", F.col("dot") / F.sqrt(F.col("norm_a") * F.col("norm_b")))
     close = close.select("file", "a", "b", "cosine").unionByName(norms.select("file", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
     members = u.join(own, ["file", "t"]).select("file", "id", "seq", "line")
     ma, mb = (members.select("file", F.col("id").alias(x), F.col("seq").alias(f"seq_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab")
@@ -378,13 +375,15 @@ def metaphor_counts(d: DataFrame, c: Config) -> DataFrame:
     used = F.transform(own_sentences(), lambda s: F.struct(s["line"].alias("line"), F.regexp_replace(s["text"], "「[^」]*」", "").alias("t")))
     x = d.select("file", used.alias("ss"))
 
-    def hit(k: int, stem: str) -> Column:
-        n = F.aggregate("ss", F.lit(0), lambda a, s: a + times(s["t"], stem))
-        line = F.coalesce(F.get(F.filter("ss", lambda s: s["t"].contains(stem)), F.lit(0))["line"], F.lit(0))
+    def hit(ss: Column, k: int, stem: str) -> Column:
+        n = F.aggregate(ss, F.lit(0), lambda a, s: a + times(s["t"], stem))
+        line = F.coalesce(F.get(F.filter(ss, lambda s: s["t"].contains(stem)), F.lit(0))["line"], F.lit(0))
         return F.struct(F.lit(stem).alias("stem"), n.alias("n"), line.alias("line"), F.lit(k).alias("k"))
 
-    per = [hit(k, stem) for k, stem in enumerate(stems)]
-    x = x.select("file", F.size("ss").alias("sentences"), F.filter(F.array(*per), lambda p: p["n"] > 0).alias("hits"))
+    # most sentences have no stem at all, so each stem only looks at those that one pattern lets through
+    some = F.filter("ss", lambda s: s["t"].rlike("|".join(rf"\Q{stem}\E" for stem in stems)))
+    hits = bound(some, lambda ss: F.filter(F.array(*(hit(ss, k, stem) for k, stem in enumerate(stems))), lambda p: p["n"] > 0))
+    x = x.select("file", F.size("ss").alias("sentences"), fenced(hits).alias("hits"))
     by_count = F.array_sort(F.transform("hits", lambda h: F.struct((-h["n"]).alias("m"), h["k"].alias("k"), h["stem"].alias("stem"))))
     return x.select("file", "sentences", F.aggregate("hits", F.lit(0), lambda a, h: a + h["n"]).alias("total"), F.coalesce(F.array_min(F.transform("hits", lambda h: h["line"])), F.lit(1)).alias("line"), F.array_join(F.transform(by_count, lambda h: F.concat(h["stem"], F.lit("×"), (-h["m"]).cast("string"))), "・").alias("vocabulary"))
 

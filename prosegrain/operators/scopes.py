@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrain.functions.text import CUT, DOLLAR, GAP, MARK, MARKS, NAMED, lines_of, ltrim, rtrim, text, times, trim
+from prosegrain.functions.text import CUT, DOLLAR, GAP, MARK, MARKS, NAMED, bound, fenced, lines_of, ltrim, rtrim, text, times, trim
 
 FENCE = "```"
 BULLET = r"(?:[-*+][ \t]|・|[0-9０-９]+[.．)])"
@@ -22,37 +22,41 @@ def line_ends(x: Column) -> Column:
     return F.repeat(text("\n"), times(x, "\n"))
 
 
+def _alternating(x: Column, mark: str, pattern: str, inner) -> Column:
+    """x with inner() applied to what lies between closed pairs of a mark, which go; an open mark stays."""
+    part = lambda p, i, n: F.when(i % 2 == 0, p).when(i < n - 1, inner(p)).otherwise(F.concat(text(mark), p))
+    return bound(F.split(x, pattern, -1), lambda ps: F.array_join(F.transform(ps, lambda p, i: part(p, i, F.size(ps))), ""))
+
+
 def without_fences(x: Column) -> Column:
     """Closed code fences as their line ends; an open one stays."""
-    parts = F.split(x, FENCE, -1)
-    kept = F.transform(F.array(parts), lambda ps: F.array_join(F.transform(ps, lambda p, i: F.when(i % 2 == 0, p).when(i < F.size(ps) - 1, line_ends(p)).otherwise(F.concat(text(FENCE), p))), ""))
-    return F.when(x.contains(FENCE), kept[0]).otherwise(x)
+    return F.when(x.contains(FENCE), _alternating(x, FENCE, FENCE, line_ends)).otherwise(x)
 
 
 def without_math(x: Column) -> Column:
     """Display formulas as their line ends, but for pairs of marks within inline code or around an empty line."""
     hide = lambda p, i, n: F.when((i % 2 == 1) & (i < n - 1), F.replace(p, text("$"), text(DOLLAR))).otherwise(p)
-    line = lambda s: F.transform(F.array(F.split(s, "`", -1)), lambda ps: F.array_join(F.transform(ps, lambda p, i: hide(p, i, F.size(ps))), "`"))[0]
+    line = lambda s: bound(F.split(s, "`", -1), lambda ps: F.array_join(F.transform(ps, lambda p, i: hide(p, i, F.size(ps))), "`"))
     masked = F.when(x.contains("`"), F.array_join(F.transform(F.split(x, "\n", -1), lambda s: F.when(s.contains("`"), line(s)).otherwise(s)), "\n")).otherwise(x)
     pair = lambda p: F.when(p.contains("\n\n"), F.concat(text("$$"), p, text("$$"))).otherwise(line_ends(p))
-    kept = F.transform(F.array(F.split(masked, r"\$\$", -1)), lambda ps: F.array_join(F.transform(ps, lambda p, i: F.when(i % 2 == 0, p).when(i < F.size(ps) - 1, pair(p)).otherwise(F.concat(text("$$"), p))), ""))
-    return F.when(x.contains("$$"), F.replace(kept[0], text(DOLLAR), text("$"))).otherwise(x)
+    return F.when(x.contains("$$"), F.replace(_alternating(masked, "$$", r"\$\$", pair), text(DOLLAR), text("$"))).otherwise(x)
 
 
 def source_blocks(x: Column) -> Column:
-    return without_math(without_fences(x))
+    return bound(without_fences(x), without_math)
 
 
 def clean_line(x: Column) -> Column:
     """A line's prose: table rows and headings are empty, asides go, a line of white space is empty."""
-    return F.when(x.rlike(r"(?U)^\s*[|#]"), "").otherwise(rtrim(F.regexp_replace(x, ASIDE, "")))
+    return F.when(F.substring(ltrim(x), 1, 1).isin("|", "#"), "").otherwise(rtrim(F.regexp_replace(x, ASIDE, "")))
 
 
 def sentences_of(clean: Column) -> Column:
     """Sentences of clean lines: array of (line, text). Each piece of a line that ends at a full stop, question or exclamation mark
     carries its line number; wrapped pieces join, empty lines part."""
-    piece = lambda i: lambda p: F.concat(text(MARK), (i + 1).cast("string"), text(NAMED), p, F.when(p.rlike("[。！？]$"), text(CUT)).otherwise(text("")))
-    marked = F.transform(clean, lambda s, i: F.when(trim(s) == "", text(CUT)).otherwise(F.array_join(F.transform(F.filter(F.split(trim(s), "(?<=[。！？])"), lambda p: p != ""), piece(i)), "")))
+    piece = lambda i: lambda p: F.concat(text(MARK), i, text(NAMED), p, F.when(F.right(p, F.lit(1)).isin("。", "！", "？"), text(CUT)).otherwise(text("")))
+    pieces = lambda s, i: F.array_join(F.transform(F.filter(F.split(trim(s), "(?<=[。！？])"), lambda p: p != ""), piece((i + 1).cast("string"))), "")
+    marked = F.transform(clean, lambda s, i: F.when(trim(s) == "", text(CUT)).otherwise(pieces(s, i)))
     parts = F.filter(F.split(F.array_join(marked, ""), CUT, -1), lambda p: p != "")
     found = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, f"{MARK}([0-9]+){NAMED}", 1).cast("int").alias("line"), trim(F.regexp_replace(p, f"{MARK}[0-9]+{NAMED}", "")).alias("text")))
     return F.filter(found, lambda s: s["text"] != "")
@@ -64,7 +68,7 @@ def units_of(clean: Column) -> Column:
     numbered = F.array_join(F.transform(clean, lambda s, i: F.when(s == "", s).otherwise(F.concat(text(MARK), (i + 1).cast("string"), text(NAMED), s))), "\n")
     bullet = lambda seg: F.forall(F.split(seg, "\n", -1), lambda s: (s == "") | s.rlike(rf"(?U)^{MARK}[0-9]+{NAMED}\s*{BULLET}")) & (F.replace(seg, text("\n"), text("")) != "")
     segments = F.transform(F.split(numbered, "\n\n", -1), lambda seg: F.struct(seg.alias("s"), bullet(seg).alias("b")))
-    joined = F.transform(F.array(segments), lambda gs: F.array_join(F.transform(gs, lambda g, i: F.when(F.replace(g["s"], text("\n"), text("")) == "", text(GAP)).when(g["b"] & (i > 0) & F.get(gs, i - 1)["b"], F.concat(text("\n"), g["s"])).otherwise(F.concat(text(CUT), g["s"], F.when(g["b"], text(DOLLAR)).otherwise(text(""))))), ""))[0]
+    joined = bound(segments, lambda gs: F.array_join(F.transform(gs, lambda g, i: F.when(F.replace(g["s"], text("\n"), text("")) == "", text(GAP)).when(g["b"] & (i > 0) & F.get(gs, i - 1)["b"], F.concat(text("\n"), g["s"])).otherwise(F.concat(text(CUT), g["s"], F.when(g["b"], text(DOLLAR)).otherwise(text(""))))), ""))
     parts = F.filter(F.split(joined, CUT, -1), lambda p: p.contains(MARK))
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, f"{MARK}([0-9]+){NAMED}", 1).cast("int").alias("line"), F.regexp_replace(p, f"{MARK}[0-9]+{NAMED}|[{GAP}{DOLLAR}]", "").alias("text"), (p.contains(DOLLAR) & ~p.contains(GAP)).alias("is_bullet")))
 
@@ -76,8 +80,9 @@ def scopes(docs: DataFrame) -> DataFrame:
     """
     safe = F.translate(F.coalesce("text", F.lit("")), MARKS, "�" * len(MARKS))
     d = docs.withColumn("text", safe).withColumn("lines", lines_of(source_blocks(F.col("text"))))
-    d = d.withColumn("bare", F.transform("lines", lambda s: F.regexp_replace(s, INLINE, ""))).withColumn("clean", F.transform("lines", clean_line))
-    return d.withColumn("sentences", sentences_of(F.col("clean"))).withColumn("units", units_of(F.col("clean")))
+    d = d.withColumns({"bare": F.transform("lines", lambda s: F.regexp_replace(s, INLINE, "")), "clean": F.transform("lines", clean_line)})
+    d = d.withColumns({"sentences": sentences_of(F.col("clean")), "units": units_of(F.col("clean"))})
+    return d.withColumns({c: fenced(F.col(c)) for c in ("lines", "bare", "clean", "sentences", "units")})
 
 
 def exploded(d: DataFrame, scope: str) -> DataFrame:

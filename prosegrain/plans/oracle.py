@@ -97,10 +97,10 @@ r as (select *, row_number() over (partition by file order by k) as i from f) {r
 OPENER = f"select file, seq as k, line, length(o) >= 2 and not regexp_matches(t, {raw(rules.CONNECTOR)}) and not regexp_matches(t, '^[-*+・#]') as f, o as key from (select *, substring(regexp_extract(t, '^[^、。！？]*'), 1, 6) as o from se)"
 NEAR = f""", u as (select file, seq, line, regexp_replace(t, '{W}+', '', 'g') as x from un where length(t) >= 40),
 b0 as (select file, seq, line, x, unnest(range(1, length(x))) as i from u), bg as (select file, seq, substring(x, i, 2) as g, count(*) as n from b0 group by all),
-nm as (select file, seq, sqrt(sum(n * n)) as norm from bg group by all),
+nm as (select file, seq, cast(sum(n * n) as double) as norm from bg group by all),
 dt as (select a.file, a.seq as a, b.seq as b, sum(a.n * b.n) as dot from bg a join bg b on a.file = b.file and a.g = b.g and a.seq < b.seq group by all)
-select dt.file, cast(ub.line as int) as line, round(cast(dot / (na.norm * nb.norm) as double), 6) as value, cast(ua.line as varchar) as word from dt join nm na on na.file = dt.file and na.seq = a join nm nb on nb.file = dt.file and nb.seq = b
-join u ua on ua.file = dt.file and ua.seq = a join u ub on ub.file = dt.file and ub.seq = b where dot / (na.norm * nb.norm) >= 0.65 - 1e-12"""
+select dt.file, cast(ub.line as int) as line, round(cast(dot as double) / sqrt(na.norm * nb.norm), 6) as value, cast(ua.line as varchar) as word from dt join nm na on na.file = dt.file and na.seq = a join nm nb on nb.file = dt.file and nb.seq = b
+join u ua on ua.file = dt.file and ua.seq = a join u ub on ub.file = dt.file and ub.seq = b where 400.0::double * dot * dot >= 169.0::double * na.norm * nb.norm"""
 UNENDED = f""", q0 as (select file, line, is_bullet, case when is_bullet then string_split(t, {NL}) else [t] end as ps from un), q1 as (select file, line + generate_subscripts(ps, 1) - 1 as line, unnest(ps) as p from q0),
 q as (select file, line, regexp_replace(regexp_replace(p, '^{W}+', ''), '{W}+$', '') as s from q1), e as (select *, regexp_replace(s, '[*_` \t]+$', '') as x from q)
 {row("length(s)", "right(s, 20)")} from e where length(s) >= 8 and x <> '' and not regexp_matches(x, {raw(rules.TERMINATED)})"""
