@@ -262,5 +262,7 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = 24, ratio: float
     # only rows that carry the group's smallest id compete, so a window holds copies of one row at most
     first = found.where(alone | (F.col("doc_id") == F.col("component_id")))
     first = first.groupBy(*(g.alias(f"g{i}") for i, g in enumerate(group))).agg(F.min(F.struct("doc_id", "mark")).alias("stays")).select(F.col("stays.doc_id").alias("its_id"), F.col("stays.mark").alias("its_mark"))
-    kept = docs.withColumn("_mark", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("_mark") == F.col("its_mark")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    # the row travels as one struct, so that no name of its columns can clash
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    kept = packed.join(first, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")), "left_semi")
+    return kept.dropDuplicates(["id", "mark"]).select("row.*")
