@@ -3,8 +3,9 @@
 Fixed masks choose five word positions and ignore those between, so that a hash survives a substitution at an ignored
 position. Hashes of the benchmark and of the documents are joined, and around each hit the texts are compared word by word:
 a document overlaps an item if some 13 aligned words agree in 10 or more. The three masks together hit every such
-window, wherever its three substitutions lie (tests try all). An item of fewer than 13 words is compared whole, and three
-quarters of its words must agree; one of fewer than 8 words is no evidence and is not searched for.
+window, wherever its three substitutions lie (tests try all). An item of fewer than 13 words is compared whole, and all its
+words but one, or but two of 11 or 12, must agree, which the masks hit as well; one of fewer than 8 words is no evidence and
+is not searched for.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 APART = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def least(n: int) -> int:
+    """Words that must agree with an item of n words."""
+    return AGREE if n >= WINDOW else n - (2 if n > 10 else 1)
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-case words; ASCII punctuation parts them."""
     return (text or "").lower().encode().translate(APART).split()
@@ -44,7 +50,7 @@ class Index:
             flat += [self.number.setdefault(w, len(self.number) + 1) for w in ws] + gap
             item += [k] * len(ws) + gap
         self.flat, self.item = np.array(flat, dtype=np.int64), np.array(item, dtype=np.int64)
-        self.need = np.array([AGREE if len(ws) >= WINDOW else -(-3 * len(ws) // 4) for _, ws in items] or [0], dtype=np.int64)
+        self.need = np.array([least(len(ws)) for _, ws in items] or [0], dtype=np.int64)
         self.tables = []
         for mask in MASKS:
             span = mask[-1] + 1
