@@ -238,7 +238,7 @@ def latin_density(d: DataFrame, c: Config, every: bool = False) -> DataFrame:
     tokens = F.filter(F.transform(tokens, F.lower), lambda t: (F.length(t) >= 2) & ~t.rlike("^[ivx]+$"))
     if exempt := {w.lower() for w in (*c.allow, *c.allow_vocabulary)}:
         tokens = F.filter(tokens, lambda t: ~t.isin(*sorted(exempt)))
-    u = u.withColumn("tokens", tokens).withColumn("density", F.size("tokens") * 100.0 / F.col("ja"))
+    u = u.withColumn("tokens", tokens).withColumn("density", F.size("tokens") * 100.0 / F.nullif(F.col("ja"), F.lit(0)))
     found = u if every else u.where(F.col("density") >= c.codemix_threshold)
     return rows(found, F.col("density"), F.array_join(F.array_sort(F.array_distinct("tokens")), " "))
 
@@ -261,13 +261,13 @@ def deflated_bits(x: str) -> Column:
 
 def dense_units(d: DataFrame) -> DataFrame:
     """Units that the rule on information density looks at: 60 characters or more, few of them ASCII."""
-    ascii_share = F.length(F.regexp_replace("text", r"[^\x00-\x7F]", "")) / F.length("text")
+    ascii_share = F.length(F.regexp_replace("text", r"[^\x00-\x7F]", "")) / F.nullif(F.length("text"), F.lit(0))
     return exploded(d, "units").where((F.length("text") >= 60) & (ascii_share <= 0.15))
 
 
 def bits_per_char(d: DataFrame, c: Config) -> DataFrame:
     """Bits of the deflated text for each character of every such unit."""
-    return rows(dense_units(d), deflated_bits("text") / F.length("text"))
+    return rows(dense_units(d), deflated_bits("text") / F.nullif(F.length("text"), F.lit(0)))
 
 
 def low_information_density(d: DataFrame, c: Config) -> DataFrame:
@@ -389,5 +389,5 @@ def metaphor_counts(d: DataFrame, c: Config) -> DataFrame:
 
 
 def metaphor_density(d: DataFrame, c: Config) -> DataFrame:
-    m = metaphor_counts(d, c).withColumn("seq", F.lit(1)).withColumn("rate", F.col("total") * 100.0 / F.col("sentences"))
+    m = metaphor_counts(d, c).withColumn("seq", F.lit(1)).withColumn("rate", F.col("total") * 100.0 / F.nullif(F.col("sentences"), F.lit(0)))
     return rows(m.where("sentences >= 30 and total >= 3 and rate >= 2.0"), F.col("rate"), F.col("vocabulary"))
