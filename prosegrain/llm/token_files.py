@@ -33,6 +33,8 @@ FILE_BYTES, FILE_DOCS = 32 << 20, 100_000
 #: The dictionary is trained on the heads of so many documents, chosen by hash; it only moves the compression rate.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 1000, 2000, 32 << 10
 CACHE = 700_000
+#: Tasks that read files back, at most.
+READERS = 5000
 #: Stands for the ids of a word that cannot be cut out of its text; no ids have its length.
 ODD = b"odd"
 
@@ -263,7 +265,8 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
                 doc = pa.array(f.index["doc_id"].astype(np.int64), mask=f.index["known"] == 0)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(row["start"] + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("name").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # a stated number of parts: names are few bytes, so by size all files would fall to one task
+    return files.repartition(max(1, min(READERS, files.count())), "name").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
