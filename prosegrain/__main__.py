@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
         for more in parts[1:]:
             docs = docs.unionByName(more)
     if args.command == "fix":
-        fixes.fixed(docs.where("kind <> 'html'").withColumnRenamed("raw", "text")).where("n > 0").write.mode("overwrite").json(args.out or "fixed")
+        fixes.fixed(docs.where("kind <> 'html'").withColumnRenamed("raw", "text")).where("n > 0").write.mode("overwrite").json(str(Path(args.out or "fixed").resolve()))
         return 0
     found = check(docs, config, {args.command} if args.command in DETECTORS else None).cache()
     count = report.totals(found).first()
