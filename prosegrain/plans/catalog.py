@@ -29,9 +29,15 @@ def config(**more) -> Config:
     return Config(metaphors=tuple(lexicons.pairs(lexicons.SHIPPED / "metaphors.tsv")), katakana=tuple(lexicons.pairs(lexicons.SHIPPED / "katakana.tsv")), deny={DENIED: "別の言葉"}, **more)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores: a table of fewer splits than cores, thus a small one, is dealt out; a larger one stays as it lies."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     plain: Column = F.replace(F.translate("text", *oracle.MARKS), F.lit("\n"), F.lit("\n\n"))
     name = lambda x: F.concat(F.lit(x), F.col("doc_id").cast("string")).alias("file")
     a = docs.select(name("a"), plain.alias("text"))

@@ -2,7 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from prosegrain.config import Config
+from prosegrain.operators import rules
+from prosegrain.operators.scopes import scopes
 from prosegrain.plans import catalog
 
 TABLES = "documents pages conversations".split()
@@ -31,9 +35,10 @@ def test_query(spark, duck, sf, name):
 
 
 def test_scopes_are_made_without_a_shuffle_and_read_two_columns(spark, sf):
-    plan = catalog.queries()["sentence_length"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("file", F.col("doc_id").cast("string"))
+    plan = rules.sentence_length(scopes(docs), Config())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
-    assert plan.count("SPARK_PARTITION_ID") == 1  # the scope is computed once, for the whole corpus
+    assert plan.count("SPARK_PARTITION_ID") == 1  # the scope is computed once
 
 
 def test_entry_works(spark):
