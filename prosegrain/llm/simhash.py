@@ -9,11 +9,14 @@ radius are skipped, all others are compared with numpy exclusive-or and bit coun
 
 A task returns a spanning forest of the links it found, never all pairs of a group, and distributed connected components
 join the forests.
+
+one_of_each() of the pipeline links by the exact similarity of sets of shingles instead, with candidates from a prefix filter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ SEED = 42
 CELLS = 1 << 19
 #: Rows of a tile of the wide comparison: a 64th of all, within these limits.
 LEAST_TILE, TILE = 2048, 1 << 16
+#: Texts of the sample that tells frequent shingles, texts of it that make one frequent, and how many are kept.
+SAMPLE, OFTEN, MOST = 20_000, 4, 200_000
 
 
 def shingles(text: str | None, words: int) -> Iterable[bytes]:
@@ -247,21 +252,162 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     return classes(prints, radius, 0).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 24, ratio: float = 0.8) -> DataFrame:
+def distinct_shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the different shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, words)], dtype="<u8"))
+
+
+def set_key(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes that several texts of a sample have, rarer ones first. They only order the shingles: any order finds every pair."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            got = [distinct_shingles(x, words) for x in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *got]).view("<i8"))], names=["h"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    rows = sample.mapInArrow(run, "h bigint").groupBy("h").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "h").limit(MOST).collect()
+    return np.array([r["h"] for r in reversed(rows)], dtype="<i8").view("<u8")
+
+
+def parities(h: np.ndarray) -> bytes:
+    """512 bits: whether an odd number of hashes begins with each nine bits. Those of two sets differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
+
+
+def needed(n: np.ndarray, share: Fraction) -> np.ndarray:
+    """The least whole number that is share * n or more."""
+    return -(-share.numerator * n // share.denominator)
+
+
+def shingle_sets(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """doc_id, mark (hash of the text), key (of the set of shingles), d (its size), bits (parities), prefix (its first shingles in the common order)."""
+    order = frequent(docs, words)
+    by_hash = np.argsort(order)
+    shared = docs.sparkSession.sparkContext.broadcast((order[by_hash], by_hash + 1))
+
+    def run(batches: Batches) -> Batches:
+        common, rank = shared.value
+        for batch in batches:
+            keys, sizes, bits, firsts = [], [], [], []
+            for text in column(batch, "text"):
+                h = distinct_shingles(text, words)
+                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+                ranks = np.where(common[at] == h, rank[at], 0) if len(common) else np.zeros(len(h), int)
+                keys.append(set_key(h))
+                sizes.append(len(h))
+                bits.append(parities(h))
+                firsts.append(h[np.lexsort((h, ranks))][: len(h) - int(needed(len(h), least)) + 1].view("<i8"))
+            yield rows_of(batch, ["doc_id", "mark"], key=pa.array(keys, pa.binary()), d=pa.array(sizes, pa.int64()), bits=pa.array(bits, pa.binary()), prefix=pa.array(firsts, pa.list_(pa.int64())))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, d bigint, bits binary, prefix array<bigint>")
+
+
+def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes (node, d, prefix) whose prefixes meet where a similarity of `least` is still possible.
+
+    Two sets of similarity `least` share some `least / (1 + least)` of their sizes' sum, so the first shingle in the common order
+    that both have stands where that many can follow; nothing is missed.
+    """
+    dealt = nodes.select("node", "d", F.posexplode("prefix").alias("pos", "h")).repartition("h").sortWithinPartitions("h")
+    up, down = least.numerator, least.numerator + least.denominator
+
+    def pairs(node: np.ndarray, d: np.ndarray, pos: np.ndarray, first: np.ndarray, n: np.ndarray) -> Batches:
+        """Each row i with the n[i] rows from first[i] on, some at a time."""
+        ends = np.cumsum(n)
+        for start in range(0, int(ends[-1]) if len(ends) else 0, CELLS):
+            k = np.arange(start, min(start + CELLS, int(ends[-1])))
+            i = np.searchsorted(ends, k, side="right")
+            j = first[i] + k - (ends - n)[i]
+            ok = down * (np.minimum(d[i] - pos[i], d[j] - pos[j])) >= up * (d[i] + d[j])
+            a, b = node[i[ok]], node[j[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Batches) -> Batches:
+        held: list[np.ndarray] = []  # the rows of the last shingle so far, which may go on in the next batch
+        for batch in batches:
+            cols = [np.asarray(batch.column(i)).astype(np.int64) for i in range(4)]
+            new = len(held[0]) if held else 0
+            cols = [np.concatenate(x) for x in zip(held, cols)] if held else cols
+            h, node, d, pos = cols
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            stops = np.append(starts[1:], len(h))
+            # a row meets the later ones of its shingle that are here; what is held meets those of the next batch then
+            place = np.arange(len(h))
+            stop = np.repeat(stops, stops - starts)
+            first = np.maximum(place + 1, new)
+            yield from pairs(node, d, pos, first, np.maximum(stop - first, 0))
+            held = [x[starts[-1] :] for x in cols]
+
+    return dealt.select("h", "node", "d", "pos").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def possible(nodes: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
+    """pairs (a, b) without those whose parities differ in more bits than sets of similarity `least` in elements. nodes: node, d, bits."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("d").alias(f"d_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    up, down = least.denominator - least.numerator, least.denominator + least.numerator
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u8").reshape(-1, 8) for k in (3, 4))
+            apart = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+            yield batch.filter(pa.array(down * apart <= up * np.asarray(batch.column(2)))).select(["a", "b"])
+
+    joined = pairs.join(a, "a").join(b, "b")
+    return joined.select("a", "b", (F.col("d_a") + F.col("d_b")).alias("n"), "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Those of pairs (a, b) whose sets of shingles have a similarity of `least` or more. nodes: node, mark, key."""
+    want = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "mark", "key"), "wanted")
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            got = [distinct_shingles(x, words) for x in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())], names=["key", "h"])
+
+    asked = docs.select("text", F.xxhash64("text").alias("mark")).join(want.select("mark").distinct(), "mark", "left_semi").select("text").distinct()
+    sets = cut(asked.mapInArrow(run, "key binary, h binary").join(want, "key").dropDuplicates(["node"]).select("node", "h"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("h_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("h_b")), "b")
+
+    def verify(batches: Batches) -> Batches:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(least.denominator * both >= least.numerator * (len(p) + len(q) - both))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return both.select("a", "b", "h_a", "h_b").mapInArrow(verify, "a bigint, b bigint")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, ratio: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, in docs' columns.
 
-    128 bits over shingles of five words. Sets of similarity 0.8 have a cosine of 0.89 and differ in 19 of 128 bits on average
-    with a deviation of 4, unrelated texts in 64 with a deviation of 5.7; 24 bits or fewer and shingle counts within 0.8
-    of each other are a link. Of rows that agree in doc_id and text one stays; rows without doc_id only meet rows of the
-    same fingerprint and shingle count. Null and empty texts are near-duplicates of each other.
+    A link is a Jaccard similarity of `ratio` or more of the sets of shingles, computed from the sets themselves; a group is what
+    links reach. Candidates come from prefixes of the sets, which miss no pair. Of rows that agree in doc_id and text one
+    stays; a row without doc_id stays if nothing in its group has one. Null and empty texts are near-duplicates of each other.
     """
-    prints = cut(fingerprints(docs, words, wide=True, mark=True), "fingerprints")
-    found = classes(prints, radius, ratio)
-    alone = F.col("component_id").isNull()
-    group = [F.coalesce("component_id", F.lit(-1)), *(F.when(alone, F.col(c)) for c in ("f0", "f1", "n"))]
-    # only rows that carry the group's smallest id compete, so a window holds copies of one row at most
-    first = found.where(alone | (F.col("doc_id") == F.col("component_id")))
-    first = first.groupBy(*(g.alias(f"g{i}") for i, g in enumerate(group))).agg(F.min(F.struct("doc_id", "mark")).alias("stays")).select(F.col("stays.doc_id").alias("its_id"), F.col("stays.mark").alias("its_mark"))
+    bound_batches(docs.sparkSession)
+    least = Fraction(str(ratio))
+    rows = cut(shingle_sets(docs, words, least), "shingle-sets")
+    # one node for each different set, with a number of its own
+    nodes = rows.groupBy("key").agg(F.min("mark").alias("mark"), F.first("d").alias("d"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bound_batches(docs.sparkSession, rows=100_000)
+    pairs = cut(possible(nodes, cut(candidates(nodes, least), "candidates"), least), "possible")
+    bound_batches(docs.sparkSession)
+    roots = components(cut(similar(docs, nodes, pairs, words, least), "links"))
+    groups = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("group"))
+    found = rows.select("doc_id", "mark", "key").join(groups, "key")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("stays")).select(F.col("stays.doc_id").alias("its_id"), F.col("stays.mark").alias("its_mark"))
     # the row travels as one struct, so that no name of its columns can clash
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
     kept = packed.join(first, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")), "left_semi")

@@ -89,3 +89,51 @@ def test_one_of_each_group_stays(spark):
     groups = [r["its_id"] for r in got]
     assert sorted(groups) == sorted(set(groups)) == sorted({g for _, _, g in rows})
     assert {r["doc_id"] for r in got if r["its_id"] < 5} == {0, 7, 14, 21, 28}
+
+
+def planted(n, tail, tag):
+    """Two texts of n different words of which the last `tail` differ, and the similarity of their sets of five-word shingles."""
+    words = [f"{tag}w{k}" for k in range(n)]
+    return " ".join(words), " ".join(words[: n - tail] + [f"{tag}new{k}" for k in range(tail)]), (n - 4 - tail) / (n - 4 + tail)
+
+
+def test_pairs_link_by_their_real_similarity(spark):
+    """Pairs planted at 0.70, 0.75, next below 0.80, 0.80 and 0.82: the second text of a pair goes from 0.80 on, else both stay."""
+    rows, goes = [], set()
+    for n in (94, 184, 409, 904):
+        for share in (0.70, 0.75, 0.80, 0.82):
+            tail = max(t for t in range(n) if (n - 4 - t) / (n - 4 + t) >= share)
+            for k in range(6):
+                for more in (0, 1) if share == 0.80 else (0,):
+                    a, b, real = planted(n, tail + more, f"n{n}s{share}k{k}m{more}")
+                    assert real == 0.8 or share != 0.80 or more
+                    rows += [(len(rows), a), (len(rows) + 1, b)]
+                    goes |= {len(rows) - 1} if real >= 0.8 else set()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(range(len(rows))) - goes
+
+
+def test_one_of_each_matches_brute_force(spark, sf_more):
+    docs = spark.read.parquet(f"{sf_more}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = [set(map(bytes, simhash.shingles(r["text"], 5))) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = {}
+    for k, x in enumerate(sets):
+        for h in x:
+            holders.setdefault(h, []).append(k)
+    for a, b in {(a, b) for ks in holders.values() for a in ks for b in ks if a < b}:
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    want = {}
+    for k, r in enumerate(rows):
+        want[find(k)] = min(want.get(find(k), r["doc_id"]), r["doc_id"])
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(want.values())
