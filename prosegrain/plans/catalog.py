@@ -112,8 +112,8 @@ def conversation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the literal documents by detector and rule, with subtotals."""
-    docs = spark.createDataFrame([(f, "md", t) for f, t in DOCUMENTS], "file string, kind string, raw string")
+    """Findings of a whole check of the corpus by detector and rule, with subtotals."""
+    docs = corpus(spark, sf_dir).select("file", F.lit("md").alias("kind"), F.col("text").alias("raw"))
     return report.rolled_up(check(docs, config(register="consume", jargon=TERMS))).select("detector", "rule", "n", "errors")
 
 

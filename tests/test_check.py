@@ -8,6 +8,7 @@ from prosegrain import config as settings
 from prosegrain.__main__ import main
 from prosegrain.config import Config
 from prosegrain.operators import coinage, report
+from prosegrain.plans import catalog
 from prosegrain.plans.check import check
 from prosegrain.plans.fixtures import DOCUMENTS, MORPHEMES
 from prosegrain.sources import documents, lexicons
@@ -118,3 +119,10 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert main(["fix", "a.md"]) == 0
     (tmp_path / settings.FILE_NAME).write_text("odd = 1\n")
     assert main(["check", "a.md"]) == 2
+
+
+def test_summary_takes_the_documents_of_the_table(spark, tmp_path):
+    spark.createDataFrame([(1, "stop!"), (2, "stop! now!")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    n = {r["rule"]: r["n"] for r in catalog.findings_summary(spark, str(tmp_path)).collect()}
+    hits = catalog.suppressed_exclamation(spark, str(tmp_path)).cache()
+    assert n["exclamation"] == hits.count() > hits.where("file rlike '^f'").count()
