@@ -28,6 +28,7 @@ class Config:
     katakana: tuple[tuple[str, str], ...] = ()
     jargon: tuple[str, ...] = ()
     ignore_marker: str = "prose-ignore"
+    coinage_corpus: str = ""
 
     def __post_init__(self):
         if self.register == "external":
@@ -72,6 +73,7 @@ def load(path: Path | None, **more) -> Config:
     for key, name, shipped in (("rhetoric.metaphor-lexicon", "metaphors", "metaphors.tsv"), ("codemix.katakana-lexicon", "katakana", "katakana.tsv")):
         got[name] = tuple(p for f in files(key) or [lexicons.SHIPPED / shipped] for p in lexicons.pairs(f))
     got["jargon"] = tuple(dict.fromkeys(w for f in files("jargon.vocabulary") for w in lexicons.registry_heads(f.read_text())))
+    got["coinage_corpus"] = str(base / Path(found["coinage.corpus"]).expanduser()) if found.get("coinage.corpus") else ""
     config = replace(Config(), **got)
     names = {f.name for f in fields(Config)}
     return replace(config, **{k: v for k, v in more.items() if k in names and v is not None})

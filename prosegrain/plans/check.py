@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegrain.config import Config
-from prosegrain.operators import jargon, report, rules
+from prosegrain.operators import coinage, jargon, report, rules
 from prosegrain.operators.html import html_text
-from prosegrain.operators.scopes import scopes
+from prosegrain.operators.scopes import exploded, scopes
+from prosegrain.sources import lexicons
 
 Rule = Callable[[DataFrame, Config], DataFrame]
+Tokenizer = Callable[[str], list[coinage.Morpheme]]
 
 #: Detector, rule, severity, what it looks for, message. The order settles ties of place in a report.
 REGISTRY: list[tuple[str, str, str, Rule, str]] = [
@@ -98,13 +101,29 @@ def findings_of(scoped: DataFrame, config: Config, only: set[str] | None = None)
     return reduce(DataFrame.unionByName, parts)
 
 
-def check(docs: DataFrame, config: Config, only: set[str] | None = None, keep: bool = True) -> DataFrame:
+def coined(scoped: DataFrame, config: Config, tokenizer: Tokenizer) -> DataFrame:
+    """Strict coinages, but for words that are allowed, denied or in the corpus' list; a corpus that is not there is passed over."""
+    spark = scoped.sparkSession
+    table = lambda words: spark.createDataFrame([(w,) for w in words], "word string") if words else None
+    corpus = lexicons.corpus_words(spark, config.coinage_corpus) if config.coinage_corpus and Path(config.coinage_corpus).is_file() else None
+    lines = exploded(scoped, "bare").where(~F.col("text").rlike(r"^\s*\|"))
+    found = coinage.coinages(coinage.tokenized(lines, tokenizer), table(config.allow), corpus, table(config.deny)).where("strict")
+    message = F.concat(F.col("compound"), F.lit(" is in no dictionary"))
+    return found.select("file", "line", F.lit("coinage").alias("detector"), F.lit("dictionary-coinage").alias("rule"), F.lit("advisory").alias("severity"), message.alias("message"), F.to_json(F.struct("compound", "components")).alias("data"), F.lit(len(REGISTRY)).alias("detector_ord"), "seq")
+
+
+def check(docs: DataFrame, config: Config, only: set[str] | None = None, keep: bool = True, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Findings of docs (file, kind, raw) that no marker in the text silences.
 
     The scopes are made once and kept on the executors' disks for all rules; lost parts are made again. keep=False leaves that to
-    the caller, as a stream does.
+    the caller, as a stream does. With a tokenizer, from a line to its morphemes, coinages are looked for as well.
     """
     texts = documents(docs)
     scoped = scopes(texts)
     scoped = scoped.persist(StorageLevel.DISK_ONLY) if keep else scoped
-    return report.unsuppressed(findings_of(scoped, config, only), report.suppressions(texts, config.ignore_marker))
+    parts = [] if only == {"coinage"} else [findings_of(scoped, config, only)]
+    if tokenizer and (not only or "coinage" in only):
+        parts.append(coined(scoped, config, tokenizer))
+    elif not parts:
+        raise ValueError("coinages need a tokenizer")
+    return report.unsuppressed(reduce(DataFrame.unionByName, parts), report.suppressions(texts, config.ignore_marker))

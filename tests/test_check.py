@@ -121,6 +121,17 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert main(["check", "a.md"]) == 2
 
 
+def test_check_finds_coinages_with_a_tokenizer(spark, tmp_path):
+    def halves(s):
+        return [coinage.Morpheme(x, "名詞", "普通名詞", "一般") for x in (s[:2], s[2:])]
+
+    (tmp_path / "words.tsv").write_text("物理層\t1\n")
+    (tmp_path / settings.FILE_NAME).write_text('allow = ["判定床"]\n[deny]\n"木下軸" = "別"\n[coinage]\ncorpus = "words.tsv"\n')
+    docs = spark.createDataFrame([("f", "md", "機械床\n物理層\n判定床\n木下軸\n|家造語|\n```\n機械核\n```\n機械腕 <!-- prose-ignore -->")], DOCS)
+    got = check(docs, settings.load(tmp_path / settings.FILE_NAME), {"coinage"}, keep=False, tokenizer=halves).collect()
+    assert [(r["line"], r["detector"], r["rule"], json.loads(r["data"])) for r in got] == [(1, "coinage", "dictionary-coinage", {"compound": "機械床", "components": ["機械", "床"]})]
+
+
 def test_summary_takes_the_documents_of_the_table(spark, tmp_path):
     spark.createDataFrame([(1, "stop!"), (2, "stop! now!")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     n = {r["rule"]: r["n"] for r in catalog.findings_summary(spark, str(tmp_path)).collect()}
