@@ -13,8 +13,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS, BLOCK, BLOCK_BYTES = 16, 256, 40
 #: A filter or list is broadcast up to so many bytes; beyond that Spark joins by shuffling.
 BROADCAST = 32 << 20
-#: Longest root, in labels, that covers its subdomains.
-LABELS = 5
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Roots of sites that only carry advertising, betting, pills, adult or spam pages.
@@ -55,7 +53,7 @@ def canonical(url: Column) -> Column:
 def keys(url: Column) -> Column:
     """The listed URLs that would cover this one: itself, and the roots of its host and of that host's parents."""
     h, own = canonical_host(url), canonical(url)
-    parents = F.transform(F.sequence(F.lit(1), F.lit(LABELS)), lambda n: F.call_function("substring_index", h, F.lit("."), -n))
+    parents = F.transform(F.sequence(F.lit(1), F.size(F.split(h, r"\."))), lambda n: F.call_function("substring_index", h, F.lit("."), -n))
     return F.array_compact(F.array_distinct(F.concat(F.array(own, F.when(h != "", h)), F.when(h != "", parents).otherwise(F.array().cast("array<string>")))))
 
 

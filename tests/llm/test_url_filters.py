@@ -54,3 +54,9 @@ def test_sql_agrees(spark, listed, sf_more):
     con.execute(f"create view pages as select * from '{sf_more}/pages.parquet'")
     want = sorted(con.execute(u.oracle()).fetchall(), key=repr)
     assert sorted((tuple(r) for r in u.url_filters(spark.read.parquet(f"{sf_more}/pages.parquet"), listed).collect()), key=repr) == want
+
+
+def test_a_root_of_many_labels_covers_its_subdomains(spark):
+    pages = spark.createDataFrame([(1, "http://x.y.a.b.c.d.e.f.org/p"), (2, "http://a.b.c.d.e.f.org/q"), (3, "http://b.c.d.e.f.org/"), (4, None), (5, "no host")], "page_id long, url string")
+    listed = spark.createDataFrame([("http://a.b.c.d.e.f.org/",)], "url string")
+    assert {r["page_id"] for r in u.url_filters(pages, listed).where("listed").collect()} == {1, 2}
