@@ -8,6 +8,7 @@ which is all the driver gets; the posterior is a sum of literals by vote, so sco
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,42 +20,46 @@ SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Bits of a sort key that hold the window's place; the others hold the head of its hash.
 PLACE = (1 << 28) - 1
-
-#: Words in windows found twice. ws: words. Hashes of all windows are compared through a sort of primitive longs, so that a long
-#: text costs n log n; neighbours in the sorted order count as equal only if their whole 64-bit hashes are equal.
+HEAD = f"~{PLACE}L"
+
+#: Places of windows found twice, from sorted keys p: neighbours with equal heads.
+TWICE = f"""filter(transform(p, (x, k) -> if((k > 0 and (p[k - 1] & {HEAD}) = (x & {HEAD})) or (k < size(p) - 1 and (p[k + 1] & {HEAD}) = (x & {HEAD})), x & {PLACE}L, -1L)), x -> x >= 0)"""
+#: Whether neighbours with equal heads have different hashes: then heads do not tell windows apart.
+MIXED = f"""exists(sequence(1, size(p) - 1), k -> (p[k - 1] & {HEAD}) = (p[k] & {HEAD}) and h[cast(p[k - 1] & {PLACE}L as int)] <> h[cast(p[k] & {PLACE}L as int)])"""
+#: The same from sorted (hash, place) pairs q, which is slower and right for any hashes.
+SURE = """filter(transform(q, (x, k) -> if((k > 0 and q[k - 1].x = x.x) or (k < size(q) - 1 and q[k + 1].x = x.x), cast(x.i as bigint), -1L)), x -> x >= 0)"""
+
+#: Words in windows found twice. wh: hashes of the words. A window's hash has 64 bits of those of its three words. Places and heads of
+#: hashes are sorted as primitive longs, so that a long text costs n log n; where two windows have equal heads and different
+#: hashes, whole hashes are sorted instead.
 REPEATS = f"""
-transform(array(ws), ws -> transform(array(
-    if(size(ws) < 3, cast(array() as array<bigint>), transform(slice(ws, 1, greatest(size(ws) - 2, 0)), (w, i) -> xxhash64(w, ws[i + 1], ws[i + 2])))), h ->
-  if(size(array_distinct(h)) = size(h), 0L, transform(array(
-      sort_array(transform(h, (x, i) -> (x & ~{PLACE}L) | cast(i as bigint)))), p ->
-    aggregate(
-      sort_array(filter(transform(p, (x, k) -> if(
-          (k > 0 and (p[k - 1] & ~{PLACE}L) = (x & ~{PLACE}L) and h[cast(p[k - 1] & {PLACE}L as int)] = h[cast(x & {PLACE}L as int)])
-          or (k < size(p) - 1 and (p[k + 1] & ~{PLACE}L) = (x & ~{PLACE}L) and h[cast(p[k + 1] & {PLACE}L as int)] = h[cast(x & {PLACE}L as int)]),
-          x & {PLACE}L, -1L)), x -> x >= 0)),
-      named_struct('last', -3L, 'n', 0L),
-      (a, x) -> named_struct('last', x, 'n', a.n + least(3L, x - a.last)),
-      a -> a.n))[0]))[0])[0]
+transform(array(if(size(wh) < 3, cast(array() as array<bigint>), transform(slice(wh, 1, greatest(size(wh) - 2, 0)), (w, i) -> xxhash64(w, wh[i + 1], wh[i + 2])))), h ->
+  if(size(array_distinct(h)) = size(h), 0L, aggregate(
+    transform(array(sort_array(transform(h, (x, i) -> (x & {HEAD}) | cast(i as bigint)))), p ->
+      if({MIXED}, transform(array(array_sort(transform(h, (x, i) -> struct(x as x, i as i)))), q -> array_sort({SURE}))[0], sort_array({TWICE})))[0],
+    named_struct('last', -3L, 'n', 0L),
+    (a, x) -> named_struct('last', x, 'n', a.n + least(3L, x - a.last)),
+    a -> a.n)))[0]
 """
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, the base measures of each whole text and a few more for the rules. Null texts count as empty."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    gone = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
-    has_word = lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0
     out = docs.select("doc_id", t.alias("t")).select(
         "doc_id",
-        F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"),
-        gone(SYMBOLS).cast("long").alias("n_symbols"),
-        gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-        gone("!").cast("long").alias("n_shouts"),
-        F.filter(F.split("t", "\n", -1), has_word).alias("ls"),
-        F.filter(F.split("t", r"[\x20\x09-\x0D]+", -1), lambda w: w != "").alias("ws"),
+        F.regexp_count("t", F.lit(f"[{re.escape(SYMBOLS)}]")).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_upper"),
+        (F.octet_length("t") - F.octet_length(F.replace("t", F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
+        F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("ls"),
+        # trimmed, a text has no empty words but the one that an empty text has
+        F.split(F.btrim("t", F.lit(SPACE)), r"[\x20\x09-\x0D]+", -1).alias("ws"),
     )
+    none = F.array().cast("array<bigint>")
+    out = out.select("*", F.length(F.array_join("ws", "")).cast("long").alias("word_chars"), F.when(F.get("ws", F.lit(0)) == "", none).otherwise(F.transform("ws", lambda w: F.xxhash64(w))).alias("wh"))
     return out.select(
         "doc_id",
-        F.size("ws").cast("long").alias("n_words"),
+        F.size("wh").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),

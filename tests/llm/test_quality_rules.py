@@ -20,7 +20,7 @@ def base(text):
 
 def test_measures_match_brute_force(spark, sf_more):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_more}/documents.parquet").select("doc_id", "text").collect()]
-    rows += [(-1, None), (-2, ""), (-3, "a b c a b c a b"), (-4, "x\nx\n \n \nx y\nx y\r\nx y"), (None, "null id"), (-5, "a b " * 30_000), (-5, "a b " * 30_000), (-6, "\u00a0 \u3000 \x0b\x0c 𠮷")]
+    rows += [(-1, None), (-2, ""), (-3, "a b c a b c a b"), (-4, "x\nx\n \n \nx y\nx y\r\nx y"), (None, "null id"), (-5, "a b " * 30_000), (-5, "a b " * 30_000), (-6, "\u00a0 \u3000 \x0b\x0c 𠮷"), (-8, "A!B [x] ^-]\\ #*$%&|<> !!"), (-9, "unbroken" * 200_000), (-10, " ".join(f"w{k * k % 7919}" for k in range(150_000)))]
     docs = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, n_words int, kept string")
     got = quality_rules(docs).collect()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -30,6 +30,23 @@ def test_measures_match_brute_force(spark, sf_more):
         assert not (r["kept"] and r["base_failed"]) and r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
 
 
+def test_repeats_are_found_whatever_the_heads_of_hashes(spark):
+    """With heads of two bits alone, different windows with equal heads lie between equal ones."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from prosegrain.llm import quality_rules as rules
+
+    rng = random.Random(2)
+    rows = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(60))) for _ in range(300)]
+    docs = spark.createDataFrame([(t,) for t in rows], "t string").select("t", F.when(F.col("t") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("t", " "), lambda w: F.xxhash64(w))).alias("wh"))
+    few = rules.REPEATS.replace(rules.HEAD, str(-(1 << 62)) + "L")
+    assert few != rules.REPEATS
+    for sql in (rules.REPEATS, few):
+        assert {(r[0], r[1]) for r in docs.select("t", F.expr(sql)).collect()} == {(t, base(t)[4]) for t in rows}
+
+
 def test_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -39,7 +56,7 @@ def test_kept_follows_the_labels(spark, sf_more):
     got = quality_rules(docs).drop("quality").join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in got}
     assert n.get((1, True), 0) >= 0.9 * (n.get((1, True), 0) + n.get((1, False), 0))
-    assert n.get((0, False), 0) >= 0.6 * (n.get((0, False), 0) + n.get((0, True), 0)), n
+    assert n.get((0, False), 0) >= 0.95 * (n.get((0, False), 0) + n.get((0, True), 0)), n
 
 
 def test_expectation_maximisation_finds_the_good_rules():
