@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prosegrain.functions.ship import ship
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,16 +42,74 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once for each application."""
-    sc, package = spark.sparkContext, Path(__file__).parents[1]
-    if "prosegrain.zip" in sc._python_includes:
-        return
-    path = Path(tempfile.mkdtemp(prefix="prosegrain-ship-")) / "prosegrain.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(path))
+def located(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    return arrow_fs.FileSystem.from_uri(uri)
+
+
+def put(uri: str, data: list[bytes]) -> None:
+    """Write under another name and rename, so that no reader and no second attempt sees half a file."""
+    store, path = located(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(part := f"{path}.{uuid.uuid4().hex}.part") as out:
+        for x in data:
+            out.write(x)
+    store.move(part, path)
+
+
+def taken(uri: str) -> bytes:
+    """What put() wrote."""
+    store, path = located(uri)
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote and nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            assert re.search(r"-[0-9a-f]{32}$", path), path
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with, for each new column of sums, the sum of the column it names over the rows before in the given order.
+
+    Rows are dealt out by ranges of the order and summed range by range; only a row for each range meets the others'.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.select("_range", *(F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(own), "_range")
+    zero = F.lit(0)
+    return out.select(*df.columns, *((F.coalesce(F.sum(c).over(within), zero) + F.coalesce(f"_{n}", zero)).alias(n) for n, c in sums.items()))
+
+
+class Maybe:
+    """A filter of 64-bit marks in a table of bounded size, which every task gets: it lets all of them pass and few others. With very many marks
+    it lets more others pass, and still all of them, so what follows is exact at every size."""
+
+    #: Bits for each mark, and bits at most: a million rows of two numbers.
+    BITS, MOST = 16, 1 << 26
+
+    def __init__(self, marks: DataFrame):
+        self.bits = min(self.MOST, max(1 << 10, 1 << (self.BITS * max(1, marks.count()) - 1).bit_length()))
+        self.words = marks.select(self.place(F.col("mark")).alias("place")).groupBy(F.shiftright("place", 6).alias("its_word")).agg(F.bit_or(self.bit(F.col("place"))).alias("its_bits"))
+
+    def place(self, mark: Column) -> Column:
+        return F.pmod(mark, F.lit(self.bits))
+
+    @staticmethod
+    def bit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+
+    def flag(self, df: DataFrame, mark: str) -> DataFrame:
+        """df with maybe: false means that the mark is none of them."""
+        place = self.place(F.col(mark))
+        both = df.join(F.broadcast(self.words), F.shiftright(place, 6) == F.col("its_word"), "left")
+        return both.withColumn("maybe", F.coalesce(F.col("its_bits").bitwiseAND(self.bit(place)) != 0, F.lit(False))).drop("its_word", "its_bits")
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
@@ -84,18 +144,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and loops are dropped; no edges give no rows.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct(), "edges")
-    state = None
     for _ in range(rounds):
+        # stars: no node is both a leaf and a root, and no leaf has two roots
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+        if ends.groupBy("node").agg(F.sum("leaf").alias("leaves"), F.max("root").alias("roots")).where("leaves > 1 or leaves > 0 and roots > 0").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         e1 = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = e1.groupBy("a").agg(F.min("b").alias("m"))
         e2 = e1.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = cut(e2.where("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+        old, e = e, cut(e2.where("a <> b").distinct(), "edges")
+        discard(old)
     else:
         raise RuntimeError(f"components still change after {rounds} rounds")
     roots = e.groupBy("a").agg(F.min("b").alias("root"))

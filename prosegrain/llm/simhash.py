@@ -1,37 +1,36 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints of distinct documents lie in tiles sorted by population count; pairs of tiles whose counts differ beyond the
-radius are skipped, all others are compared with numpy exclusive-or and bit counts. Nothing is missed within the radius.
-
-* Up to radius 3, fingerprints are first dealt by radius + 1 blocks of their bits: two within the radius agree in one block
-  at least, so only fingerprints that share a block meet, and the work grows about as the input.
-* Beyond that no block need agree, and every tile meets every other whose shingle counts and population counts allow it.
-
-A task returns a spanning forest of the links it found, never all pairs of a group, and distributed connected components
-join the forests.
-
-one_of_each() of the pipeline links by the exact similarity of sets of shingles instead, with candidates from a prefix filter.
+Distinct fingerprints are dealt by radius + 1 blocks of their bits: two within the radius agree in one block at least, so only
+fingerprints that share a block meet. There they are sorted by population count and compared tile by tile with numpy
+exclusive-or and bit counts; what lies beyond the radius by population count alone is skipped. A block that very many
+fingerprints share is dealt out as pairs of tiles, each a task's group of its own. Nothing within the radius is missed, and a
+group yields a spanning forest of its links, never all pairs; distributed connected components join the forests.
+
+one_of_each() of the pipeline needs a similarity of sets, which majority bits only estimate. Its fingerprints are parity bits, which
+differ in no more places than the sets in elements: the same exclusive-or and bit counts then miss nothing, and what they let
+through is compared set by set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrain.llm.common import Batches, bound_batches, column, components, cut, rows_of
+from prosegrain.llm.common import Batches, Maybe, bound_batches, column, components, cut, discard, rows_of
 
 SEED = 42
-#: Elements of a comparison in memory at once.
-CELLS = 1 << 19
-#: Rows of a tile of the wide comparison: a 64th of all, within these limits.
-LEAST_TILE, TILE = 2048, 1 << 16
+#: Elements of a comparison in memory at once, and pairs of 512-bit fingerprints.
+CELLS, STEP = 1 << 19, 1 << 16
+#: Rows of a tile; groups of more rows are dealt out as pairs of tiles.
+TILE = 1 << 14
+#: Orders in which the texts of a group meet their neighbours before all other pairs are looked at.
+ORDERS = tuple(range(1, 13))
 #: Texts of the sample that tells frequent shingles, texts of it that make one frequent, and how many are kept.
 SAMPLE, OFTEN, MOST = 20_000, 4, 200_000
 
@@ -44,40 +43,25 @@ def shingles(text: str | None, words: int) -> Iterable[bytes]:
     return map(b" ".join, zip(*(ws[i:] for i in range(words))))
 
 
-def fingerprint(text: str | None, words: int, seeds: tuple[int, ...], ties: bool = False) -> tuple[list[int], int]:
-    """64 bits for each seed, as signed numbers, and the shingle count. A bit is 1 if set in over half the shingles' hashes.
+def fingerprint(text: str | None, words: int) -> int:
+    """64 bits as a signed number. A bit is 1 if set in over half the shingles' hashes; no words give zero."""
+    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, words)], dtype="<u8")
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
-    With ties, a bit set in exactly half is as in the smallest hash; else it is 0. No words give zero.
-    """
-    runs = list(shingles(text, words))
-    out = []
-    for seed in seeds:
-        h = np.array([xxhash.xxh64_intdigest(x, seed) for x in runs], dtype="<u8")
-        ones = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bits = 2 * ones > len(h)
-        if ties and len(h):
-            bits |= (2 * ones == len(h)) & np.unpackbits(h.min(keepdims=True).view(np.uint8), bitorder="little").astype(bool)
-        out.append(int(np.packbits(bits, bitorder="little").view("<i8")[0]))
-    return out, len(runs)
-
-
-def fingerprints(docs: DataFrame, words: int, wide: bool, mark: bool = False) -> DataFrame:
-    """doc_id, f0, f1 (0 unless wide), n, and with mark a hash of the row's text. docs: doc_id, text."""
+
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, f0. docs: doc_id, text."""
     bound_batches(docs.sparkSession)
-    seeds = (SEED, SEED + 1) if wide else (SEED,)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            got = [fingerprint(x, words, seeds, ties=wide) for x in column(batch, "text")]
-            more = [pa.array([f[k] if k < len(f) else 0 for f, _ in got], pa.int64()) for k in range(2)]
-            yield rows_of(batch, keep, f0=more[0], f1=more[1], n=pa.array([n for _, n in got], pa.int64()))
+            yield rows_of(batch, ["doc_id"], f0=pa.array([fingerprint(x, words) for x in column(batch, "text")], pa.int64()))
 
-    keep = ["doc_id", "mark"] if mark else ["doc_id"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = docs.select("doc_id", "text", *([F.xxhash64("text").alias("mark")] if mark else []))
-    return asked.mapInArrow(run, f"doc_id {kind}, {'mark bigint, ' if mark else ''}f0 bigint, f1 bigint, n bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f0 bigint")
 
 
 def counts(x: np.ndarray) -> np.ndarray:
@@ -107,149 +91,110 @@ class Forest:
         return own, self.low[own]
 
 
-def compare(a: dict, b: dict, radius: int, ratio: float, forest: Forest, at: int) -> None:
-    """Links in forest the places of a with those of b, which start there at `at`. a, b: f0, f1, lo, hi, pop; b sorted by pop."""
-    step = max(1, CELLS // max(1, len(b["f0"])))
-    for k in range(0, len(a["f0"]), step):
-        part = slice(k, k + step)
-        pops = a["pop"][part]
-        first, last = np.searchsorted(b["pop"], [pops.min() - radius, pops.max() + radius + 1])
-        if first == last:
-            continue
-        near = counts(a["f0"][part, None] ^ b["f0"][None, first:last]) <= radius
-        i, j = np.nonzero(near)
-        i, j = i + k, j + first
-        d = counts(a["f0"][i] ^ b["f0"][j]).astype(int) + counts(a["f1"][i] ^ b["f1"][j])
-        ok = (d <= radius) & (a["lo"][i] >= ratio * b["lo"][j]) & (b["lo"][j] >= ratio * a["lo"][i]) if ratio else d <= radius
-        forest.link(i[ok], j[ok] + at)
-
-
-def by_pop(f0: np.ndarray, f1: np.ndarray, **more: np.ndarray) -> dict:
-    pop = counts(f0).astype(np.int64) + counts(f1)
+def links(f0: np.ndarray, radius: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of fingerprints, of the links within radius: tiles sorted by population count, each compared with itself and
+    the tiles after it whose counts are within the radius."""
+    pop = counts(f0).astype(np.int64)
     order = np.argsort(pop, kind="stable")
-    return {k: v[order] for k, v in {"f0": f0, "f1": f1, "pop": pop, **more}.items()}
-
-
-def block_edges(nodes: DataFrame, radius: int) -> DataFrame:
-    """Forests of the links within radius (3 at most) of nodes (f0, rep), group by group of equal blocks of bits."""
+    f, pop = f0[order], pop[order]
+    forest = Forest(len(f))
+    for k in range(0, len(f), step):
+        last = int(np.searchsorted(pop, pop[min(k + step, len(f)) - 1] + radius, side="right"))
+        for m in range(k, last, CELLS // step):
+            i, j = np.nonzero(counts(f[k : k + step, None] ^ f[None, m : min(last, m + CELLS // step)]) <= radius)
+            ok = i + k < j + m
+            forest.link(i[ok] + k, j[ok] + m)
+    own, low = forest.edges()
+    return f[own], f[low]
+
+
+def tiled(rows: DataFrame, keys: list[str], by: str, at: str, reach: int, tile: int) -> DataFrame:
+    """rows with lo and hi, which part the groups of equal keys. Both are 0 in a group of `tile` rows at most. The rows of a larger group lie in
+    tiles, by the column `at` and a hash of the column `by`; lo and hi are a pair of tiles whose `at` differ by `reach` at most,
+    and a row comes once for each pair that its tile is in. So two rows of a group whose `at` are that near meet somewhere."""
+    hot = cut(rows.groupBy(*keys).count().where(F.col("count") > tile).drop("count"), "hot")
+    if hot.isEmpty():
+        return rows.withColumn("lo", F.lit(0).cast("long")).withColumn("hi", F.lit(0).cast("long"))
+    cold = rows.join(hot, keys, "left_anti").withColumn("lo", F.lit(0).cast("long")).withColumn("hi", F.lit(0).cast("long"))
+    warm = rows.join(hot, keys, "left_semi")
+    chunks = warm.groupBy(*keys, at).agg(F.ceil(F.count("*") / tile).alias("chunks"))
+    chunks = cut(chunks.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at, "chunks"))).alias("held")), "chunks")  # a few numbers for each hot group
+    spread = warm.join(chunks, keys).withColumn("own", F.col(at).cast("long") * (1 << 32) + F.pmod(F.xxhash64(by), F.element_at("held", F.col(at))))
+    others = F.expr(f"flatten(transform(sequence({at} - {reach}, {at} + {reach}), p -> transform(sequence(0L, coalesce(element_at(held, p), 0L)), c -> if(c < coalesce(element_at(held, p), 0L), cast(p as bigint) * {1 << 32} + c, null))))")
+    spread = spread.withColumn("other", F.explode(F.array_compact(others)))
+    spread = spread.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return cold.unionByName(spread.select(cold.columns))
+
+
+def grouped(batches: Batches, keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of whole groups, some groups at a time, with the groups' starts and ends. Rows come sorted by the first `keys` columns; only the
+    group that a batch ends in is held for the next."""
+    held: list[list[np.ndarray]] = []
+
+    def parted(cols: list[np.ndarray]) -> np.ndarray:
+        new = np.zeros(len(cols[0]), dtype=bool)
+        new[:1] = True
+        for x in cols[:keys]:
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(x) for x in batch.columns]
+        starts = parted(cols)
+        if held and any(x[-1] != y[0] for x, y in zip(held[-1][:keys], cols[:keys])):
+            whole = [np.concatenate(x) for x in zip(*held)]
+            yield whole, np.array([0]), np.array([len(whole[0])])
+            held = []
+        if len(starts) > 1:
+            first, last = [x[: starts[-1]] for x in cols], [x[starts[-1] :] for x in cols]
+            whole = [np.concatenate(x) for x in zip(*held, first)]
+            begin = parted(whole)
+            yield whole, begin, np.append(begin[1:], len(whole[0]))
+            held = [last]
+        else:
+            held.append(cols)
+    if held:
+        whole = [np.concatenate(x) for x in zip(*held)]
+        yield whole, np.array([0]), np.array([len(whole[0])])
+
+
+def block_edges(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Forests (a, b) of the links within radius of different fingerprints (f0), group by group of equal blocks of bits."""
     k = radius + 1
     ends = [64 * i // k for i in range(k + 1)]
     keys = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("f0", 64 - hi), 64 - hi + lo).alias("bits")) for i, (lo, hi) in enumerate(zip(ends, ends[1:]))))
-    dealt = nodes.select("f0", "rep", F.explode(keys).alias("key")).select("f0", "rep", "key.*")
-    dealt = dealt.repartition("block", "bits").sortWithinPartitions("block", "bits")
-
-    def edges(f0: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        g = by_pop(f0, np.zeros_like(f0), rep=rep)
-        forest = Forest(len(f0))
-        for i in range(0, len(f0), 4096):  # tiles, against themselves and those after them
-            tile = {x: y[i : i + 4096] for x, y in g.items()}
-            compare(tile, {x: y[i:] for x, y in g.items()}, radius, 0, Shifted(forest, i), i)
-        own, low = forest.edges()
-        return pa.RecordBatch.from_arrays([pa.array(g["rep"][own]), pa.array(g["rep"][low])], names=["a", "b"])
+    dealt = nodes.select("f0", F.bit_count("f0").alias("pop"), F.explode(keys).alias("key")).select("f0", "pop", "key.*")
+    dealt = tiled(dealt, ["block", "bits"], "f0", "pop", radius, tile)
+    by = ["block", "bits", "lo", "hi"]
+    dealt = dealt.repartition(*by).sortWithinPartitions(*by).select(*by, "f0")
 
     def run(batches: Batches) -> Batches:
-        open_: list[np.ndarray] = []  # the columns of the last group so far, which may go on in the next batch
-        for batch in batches:
-            cols = [np.asarray(batch.column(i)) for i in range(4)]
-            cols = [np.concatenate(x) for x in zip(open_, cols)] if open_ else cols
-            starts = np.flatnonzero(np.append(True, (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1])))
-            ends_ = np.append(starts[1:], len(cols[0]))
-            for s, e in zip(starts[:-1], ends_[:-1]):
-                if e - s > 1:
-                    yield edges(cols[0][s:e], cols[1][s:e])
-            open_ = [x[starts[-1] :] for x in cols]
-        if open_ and len(open_[0]) > 1:
-            yield edges(open_[0], open_[1])
+        for cols, starts, stops in grouped(batches, 4):
+            pairs = [links(cols[4][s:e], radius) for s, e in zip(starts.tolist(), stops.tolist()) if e - s > 1]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-class Shifted:
-    """A forest whose left places start at a tile."""
-
-    def __init__(self, forest: Forest, at: int):
-        self.forest, self.at = forest, at
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        self.forest.link(i + self.at, j)
-
-
-def tile_edges(nodes: DataFrame, radius: int, ratio: float) -> DataFrame:
-    """The same for any radius: nodes (f0, f1, n, rep) in tiles by shingle count, each tile against itself and later ones.
-
-    Counts of the smaller text under `ratio` of the larger's make no link, so only tiles whose counts are that near meet.
-    """
-    spark, names = nodes.sparkSession, ["f0", "f1", "n", "rep"]
-    tile = min(TILE, max(LEAST_TILE, nodes.count() // 64))
-
-    def pack(batches: Batches) -> Batches:
-        part, k, held, n = TaskContext.get().partitionId(), 0, [], 0
-
-        def tile_row(cols: list[np.ndarray]) -> pa.RecordBatch:
-            g = by_pop(cols[0], cols[1], lo=cols[2], rep=cols[3])
-            blob = [pa.array([np.ascontiguousarray(g[x]).tobytes()], pa.binary()) for x in ("f0", "f1", "lo", "rep")]
-            ends = [pa.array([int(x)], pa.int64()) for x in ((part << 32) + k, cols[2].min(), cols[2].max(), g["pop"][0], g["pop"][-1])]
-            return pa.RecordBatch.from_arrays([*ends, *blob], names=["tile", "least", "most", "low", "high", *names])
-
-        for batch in batches:
-            held.append([np.asarray(batch.column(i)) for i in range(4)])
-            n += batch.num_rows
-            while n >= tile:
-                cols = [np.concatenate(x) for x in zip(*held)]
-                yield tile_row([x[:tile] for x in cols])
-                held, n, k = [[x[tile:] for x in cols]], n - tile, k + 1
-        if n:
-            yield tile_row([np.concatenate(x) for x in zip(*held)])
-
-    dealt = nodes.select(*names).repartitionByRange("n", "f0").sortWithinPartitions("n", "f0")
-    tiles = cut(dealt.mapInArrow(pack, "tile bigint, least bigint, most bigint, low bigint, high bigint, f0 binary, f1 binary, n binary, rep binary"), "tiles")
-    a, b = (tiles.select(*(F.col(c).alias(f"{c}_{x}") for c in ("tile", "least", "most", "low", "high"))) for x in "ab")
-    meet = a.join(F.broadcast(b) if tiles.count() <= 100_000 else b, (F.col("tile_a") <= F.col("tile_b")) & (F.col("most_a") >= ratio * F.col("least_b")) & (F.col("most_b") >= ratio * F.col("least_a")) & (F.col("low_a") <= F.col("high_b") + radius) & (F.col("low_b") <= F.col("high_a") + radius))
-    blobs = [tiles.select(F.col("tile").alias(f"tile_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab"]
-    pairs = cut(meet.select("tile_a", "tile_b"), "tile-pairs")
-    pairs = pairs.repartition(max(1, min(5000, pairs.count() // 4)), "tile_a", "tile_b").join(blobs[0], "tile_a").join(blobs[1], "tile_b")
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = ({k: np.frombuffer(row[f"{c}_{x}"], dtype=np.int64) for k, c in (("f0", "f0"), ("f1", "f1"), ("lo", "n"), ("rep", "rep"))} for x in "ab")
-                for g in (a, b):
-                    g["pop"] = counts(g["f0"]).astype(np.int64) + counts(g["f1"])
-                forest = Forest(len(a["f0"]) + len(b["f0"]))
-                compare(a, b, radius, ratio, forest, len(a["f0"]))
-                own, low = forest.edges()
-                rep = np.concatenate([a["rep"], b["rep"]])
-                yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[low])], names=["a", "b"])
-
-    bound_batches(spark, rows=16)
-    return pairs.select("tile_a", "tile_b", *(f"{c}_{x}" for x in "ab" for c in names)).mapInArrow(run, "a bigint, b bigint")
-
-
-def classes(prints: DataFrame, radius: int, ratio: float) -> DataFrame:
-    """prints (doc_id, f0, f1, n, ...) with component_id: the smallest doc_id reachable over links. All columns are kept."""
-    # one node for each distinct fingerprint, under its smallest doc_id; where links look at shingle counts, for each count as well
-    by = ["f0", "f1", "n"] if ratio else ["f0", "f1"]
-    nodes = cut(prints.groupBy(*by).agg(F.min("doc_id").alias("rep"), *([] if ratio else [F.min("n").alias("n")])), "nodes")
-    known = nodes.where("rep is not null")
-    roots = components(cut(block_edges(known, radius) if radius <= 3 else tile_edges(known, radius, ratio), "links"))
-    found = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(*(F.col(c).alias(f"its_{c}") for c in by), F.coalesce("root", "rep").alias("component_id"))
-    same = [F.col(c) == F.col(f"its_{c}") for c in by]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return prints.join(found, on).drop(*(f"its_{c}" for c in by))
-
-
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, fingerprint (16 hexadecimal digits), component_id.
 
-    64 bits over shingles of `words` words; a link is `radius` differing bits or fewer; component_id is the smallest doc_id
-    reachable. Null and empty texts have fingerprint zero, which links like any other. A row without doc_id gets its
-    fingerprint's component, null if no row with that fingerprint has an id. Repeated rows are rows of their own; an empty
-    table gives an empty result; other columns of docs are not read.
+    64 bits over shingles of `words` words, of whole texts however long; a link is `radius` differing bits or fewer (3 at most are
+    sensible); component_id is the smallest doc_id reachable. Null and empty texts have fingerprint zero, which links like any
+    other. A row without doc_id takes part in links; component_id is null only if nothing reachable has an id. Repeated rows
+    are rows of their own; an empty table gives an empty result; other columns of docs are not read.
     """
-    prints = cut(fingerprints(docs, words, wide=False), "fingerprints")
-    return classes(prints, radius, 0).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = cut(fingerprints(docs, words), "fingerprints")
+    nodes = cut(prints.groupBy("f0").agg(F.min("doc_id").alias("rep")), "nodes")
+    edges = cut(block_edges(nodes, radius), "links")
+    grown = cut(nodes.join(components(edges), F.col("f0") == F.col("node"), "left").select("f0", "rep", F.coalesce("root", "f0").alias("root")), "rooted")
+    ids = grown.groupBy("root").agg(F.min("rep").alias("component_id"))
+    its = grown.join(ids, "root").select(F.col("f0").alias("its"), "component_id")
+    out = prints.join(its, F.col("f0") == F.col("its"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def distinct_shingles(text: str | None, words: int) -> np.ndarray:
@@ -309,62 +254,125 @@ def shingle_sets(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, d bigint, bits binary, prefix array<bigint>")
 
 
-def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (a, b) of nodes (node, d, prefix) whose prefixes meet where a similarity of `least` is still possible.
+def met(nodes: DataFrame) -> DataFrame:
+    """h, node, d, pos of the shingles of nodes (node, d, prefix) that stand in the prefixes of two nodes or more."""
+    dealt = nodes.select("node", F.col("d").alias("d"), F.posexplode("prefix").alias("pos", "h"))
+    dealt = dealt.select("h", "node", (F.shiftleft("d", 32) + F.col("pos")).alias("sizes")).repartition("h").sortWithinPartitions("h")
+
+    def run(batches: Batches) -> Batches:
+        for (h, node, sizes), starts, stops in grouped(batches, 1):
+            more = np.repeat(stops - starts > 1, stops - starts)
+            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (h, node, sizes >> 32, sizes & 0xFFFFFFFF)], names=["h", "node", "d", "pos"])
+
+    return dealt.mapInArrow(run, "h bigint, node bigint, d bigint, pos bigint")
+
+
+def reaches(d: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether rows i and j of a shingle can be the first that their sets share.
 
     Two sets of similarity `least` share some `least / (1 + least)` of their sizes' sum, so the first shingle in the common order
     that both have stands where that many can follow; nothing is missed.
     """
-    dealt = nodes.select("node", "d", F.posexplode("prefix").alias("pos", "h")).repartition("h").sortWithinPartitions("h")
     up, down = least.numerator, least.numerator + least.denominator
+    return down * np.minimum(d[i] - pos[i], d[j] - pos[j]) >= up * (d[i] + d[j])
 
-    def pairs(node: np.ndarray, d: np.ndarray, pos: np.ndarray, first: np.ndarray, n: np.ndarray) -> Batches:
-        """Each row i with the n[i] rows from first[i] on, some at a time."""
-        ends = np.cumsum(n)
-        for start in range(0, int(ends[-1]) if len(ends) else 0, CELLS):
-            k = np.arange(start, min(start + CELLS, int(ends[-1])))
-            i = np.searchsorted(ends, k, side="right")
-            j = first[i] + k - (ends - n)[i]
-            ok = down * (np.minimum(d[i] - pos[i], d[j] - pos[j])) >= up * (d[i] + d[j])
-            a, b = node[i[ok]], node[j[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+def scrambled(x: np.ndarray, seed: int) -> np.ndarray:
+    """A fixed order of node numbers for each seed."""
+    y = (x.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    return (y ^ (y >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def as_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Different pairs, the smaller node first."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.ones(len(low), dtype=bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new])], names=["a", "b"])
+
+
+def neighbours(shared: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b): each node of a shingle with the next in a few orders that are the same for all shingles, so that copies of one
+    text are joined by about as many pairs as they are."""
+    dealt = shared.repartition("h").sortWithinPartitions("h").select("h", "node", "d", "pos")
 
     def run(batches: Batches) -> Batches:
-        held: list[np.ndarray] = []  # the rows of the last shingle so far, which may go on in the next batch
-        for batch in batches:
-            cols = [np.asarray(batch.column(i)).astype(np.int64) for i in range(4)]
-            new = len(held[0]) if held else 0
-            cols = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-            h, node, d, pos = cols
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            stops = np.append(starts[1:], len(h))
-            # a row meets the later ones of its shingle that are here; what is held meets those of the next batch then
-            place = np.arange(len(h))
-            stop = np.repeat(stops, stops - starts)
-            first = np.maximum(place + 1, new)
-            yield from pairs(node, d, pos, first, np.maximum(stop - first, 0))
-            held = [x[starts[-1] :] for x in cols]
+        for (h, node, d, pos), _, _ in grouped(batches, 1):
+            a, b = [], []
+            for seed in ORDERS:
+                order = np.lexsort((scrambled(node, seed), h))
+                i, j = order[:-1], order[1:]
+                ok = (h[i] == h[j]) & reaches(d, pos, i, j, least)
+                a.append(node[i[ok]])
+                b.append(node[j[ok]])
+            yield as_pairs(np.concatenate(a), np.concatenate(b))
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def near_bits(p: np.ndarray, q: np.ndarray, n: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether parities differ in no more bits than sets of similarity `least` and sizes of sum n in elements."""
+    apart = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+    return (least.denominator - least.numerator) * n >= (least.denominator + least.numerator) * apart
 
-    return dealt.select("h", "node", "d", "pos").mapInArrow(run, "a bigint, b bigint").distinct()
+
+def unpacked(bits: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.to_pylist()), dtype="<u8").reshape(-1, 8)
+
+
+def others(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: Fraction, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of a shingle's nodes that no link joins yet and whose fingerprints are near enough. roots: node, root; nodes: node, bits."""
+    labelled = shared.join(roots, "node", "left").select("h", "node", "d", "pos", F.coalesce("root", "node").alias("root"), F.lit(0).alias("one"))
+    apart = labelled.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h")
+    labelled = cut(labelled.join(apart, "h", "left_semi").join(nodes.select("node", "bits"), "node"), "apart")
+    by = ["h", "lo", "hi"]
+    dealt = tiled(labelled, ["h"], "node", "one", 0, tile).repartition(*by).sortWithinPartitions(*by, "root").select(*by, "root", "node", "d", "pos", "bits")
+
+    def run(batches: Batches) -> Batches:
+        for cols, starts, stops in grouped(batches, 3):
+            root, node, d, pos, bits = cols[3:]
+            bits = np.frombuffer(b"".join(bits.tolist()), dtype="<u8").reshape(-1, 8)
+            stop = np.repeat(stops, stops - starts)
+            new = np.ones(len(root), dtype=bool)
+            new[1:] = root[1:] != root[:-1]
+            new[starts] = True
+            heads = np.flatnonzero(new)
+            # a row meets those of its shingle that belong to a later root
+            first = np.append(heads[1:], len(root))[np.cumsum(new) - 1]
+            n = stop - first
+            ends = np.cumsum(n)
+            for k0 in range(0, int(ends[-1]) if len(ends) else 0, STEP):
+                k = np.arange(k0, min(k0 + STEP, int(ends[-1])))
+                i = np.searchsorted(ends, k, side="right")
+                j = first[i] + k - (ends - n)[i]
+                ok = reaches(d, pos, i, j, least)
+                i, j = i[ok], j[ok]
+                ok = near_bits(bits[i], bits[j], d[i] + d[j], least)
+                if ok.any():
+                    yield as_pairs(node[i[ok]], node[j[ok]])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def possible(nodes: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
-    """pairs (a, b) without those whose parities differ in more bits than sets of similarity `least` in elements. nodes: node, d, bits."""
+    """pairs (a, b) without those whose parities differ in more bits than sets of similarity `least` in elements; a is the smaller set. nodes: node, d, bits."""
     a, b = (nodes.select(F.col("node").alias(x), F.col("d").alias(f"d_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    up, down = least.denominator - least.numerator, least.denominator + least.numerator
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u8").reshape(-1, 8) for k in (3, 4))
-            apart = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
-            yield batch.filter(pa.array(down * apart <= up * np.asarray(batch.column(2)))).select(["a", "b"])
+            yield batch.filter(pa.array(near_bits(unpacked(batch.column(3)), unpacked(batch.column(4)), np.asarray(batch.column(2)), least))).select(["a", "b"])
 
     joined = pairs.join(a, "a").join(b, "b")
-    return joined.select("a", "b", (F.col("d_a") + F.col("d_b")).alias("n"), "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
+    smaller = F.struct("d_a", "a") <= F.struct(F.col("d_b").alias("d_a"), F.col("b").alias("a"))
+    joined = joined.select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("b"), (F.col("d_a") + F.col("d_b")).alias("n"), "bits_a", "bits_b")
+    return joined.mapInArrow(run, "a bigint, b bigint")
 
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """Those of pairs (a, b) whose sets of shingles have a similarity of `least` or more. nodes: node, mark, key."""
+    """Those of pairs (a, b) whose sets of shingles have a similarity of `least` or more, as a written table. nodes: node, mark, key."""
+    bound_batches(docs.sparkSession)
     want = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "mark", "key"), "wanted")
 
     def run(batches: Batches) -> Batches:
@@ -372,7 +380,9 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, lea
             got = [distinct_shingles(x, words) for x in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())], names=["key", "h"])
 
-    asked = docs.select("text", F.xxhash64("text").alias("mark")).join(want.select("mark").distinct(), "mark", "left_semi").select("text").distinct()
+    # only texts that pass the filter are shuffled
+    asked = Maybe(want.select("mark")).flag(docs.select("text", F.xxhash64("text").alias("mark")), "mark").where("maybe")
+    asked = asked.join(want.select("mark").distinct(), "mark", "left_semi").select("text").distinct()
     sets = cut(asked.mapInArrow(run, "key binary, h binary").join(want, "key").dropDuplicates(["node"]).select("node", "h"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("h_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("h_b")), "b")
 
@@ -385,30 +395,65 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, lea
                 ok.append(least.denominator * both >= least.numerator * (len(p) + len(q) - both))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return both.select("a", "b", "h_a", "h_b").mapInArrow(verify, "a bigint, b bigint")
+    out = cut(both.select("a", "b", "h_a", "h_b").mapInArrow(verify, "a bigint, b bigint"), "links")
+    discard(want, sets)
+    return out
+
+
+def linked(docs: DataFrame, nodes: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """node, root of the nodes that links of similarity `least` or more join; nothing is missed. nodes: node, key, mark, d, bits, prefix."""
+    spark = docs.sparkSession
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        bound_batches(spark, rows=20_000)
+        near = cut(possible(nodes, pairs, least), "possible")
+        out = similar(docs, nodes, near, words, least)
+        discard(pairs, near)
+        return out
+
+    bound_batches(spark, rows=100_000)
+    shared = cut(met(nodes), "shared")
+    edges = verified(cut(neighbours(shared, least), "neighbours"))
+    roots = cut(components(edges), "roots")
+    bound_batches(spark, rows=20_000)
+    more = verified(cut(others(shared, roots, nodes, least), "others"))
+    discard(shared)
+    # the second links join what the first ones left: components of roots, through which the nodes go
+    ends = more
+    for x in "ab":
+        ends = ends.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    joined = cut(components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "joined").select(F.col("node").alias("its"), F.col("root").alias("top"))
+    old = roots.join(joined, F.col("root") == F.col("its"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(joined.join(roots, F.col("its") == F.col("node"), "left_anti").select(F.col("its").alias("node"), F.col("top").alias("root")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, ratio: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, in docs' columns.
 
-    A link is a Jaccard similarity of `ratio` or more of the sets of shingles, computed from the sets themselves; a group is what
-    links reach. Candidates come from prefixes of the sets, which miss no pair. Of rows that agree in doc_id and text one
-    stays; a row without doc_id stays if nothing in its group has one. Null and empty texts are near-duplicates of each other.
+    A link is a Jaccard similarity of `ratio` or more of the sets of shingles of whole texts, however long, computed from the sets
+    themselves; a group is what links reach. Candidates come from prefixes of the sets, which miss no pair; copies of one text
+    meet a few others of their group each, and all other pairs are looked at only between texts that these links leave apart.
+    Of rows that agree in doc_id and text one stays; a row without doc_id stays if nothing in its group has one. Null and empty
+    texts are near-duplicates of each other; an empty table gives an empty result; other columns may have any names.
     """
-    bound_batches(docs.sparkSession)
     least = Fraction(str(ratio))
-    rows = cut(shingle_sets(docs, words, least), "shingle-sets")
+    sets = cut(shingle_sets(docs, words, least), "shingle-sets")
     # one node for each different set, with a number of its own
-    nodes = rows.groupBy("key").agg(F.min("mark").alias("mark"), F.first("d").alias("d"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    nodes = sets.groupBy("key").agg(F.min("mark").alias("mark"), F.first("d").alias("d"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bound_batches(docs.sparkSession, rows=100_000)
-    pairs = cut(possible(nodes, cut(candidates(nodes, least), "candidates"), least), "possible")
-    bound_batches(docs.sparkSession)
-    roots = components(cut(similar(docs, nodes, pairs, words, least), "links"))
-    groups = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("group"))
-    found = rows.select("doc_id", "mark", "key").join(groups, "key")
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("stays")).select(F.col("stays.doc_id").alias("its_id"), F.col("stays.mark").alias("its_mark"))
-    # the row travels as one struct, so that no name of its columns can clash
+    found = cut(sets.groupBy("doc_id", "mark", "key").count().join(nodes.select("key", "node"), "key").select("doc_id", "mark", "node", "count"), "rows")
+    discard(sets)
+    roots = linked(docs, nodes, words, least)
+    grouped_ = cut(found.join(roots, "node", "left").select("doc_id", "mark", "count", F.coalesce("root", "node").alias("group")), "groups")
+    discard(nodes)
+    first = grouped_.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("stays"), F.sum("count").alias("rows"))
+    first = cut(first.where("rows > 1").select("group", F.col("stays.doc_id").alias("its_id"), F.col("stays.mark").alias("its_mark")), "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark"))
+    # what goes, and what stays but comes more than once
+    listed = cut(grouped_.join(first, "group").select("doc_id", F.col("mark").alias("its_mark"), stays.alias("stays"), "count").where("not stays or count > 1").withColumnRenamed("doc_id", "its_id"), "listed")
+    # the row travels as one struct, so that no name of its columns can clash; only rows that may be listed are shuffled
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
-    kept = packed.join(first, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")), "left_semi")
-    return kept.dropDuplicates(["id", "mark"]).select("row.*")
+    packed = Maybe(listed.select(F.col("its_mark").alias("mark"))).flag(packed, "mark")
+    asked = packed.where("maybe").join(listed, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")), "left")
+    again = asked.where("stays").dropDuplicates(["id", "mark"]).select("row.*")
+    return packed.where("not maybe").select("row.*").unionByName(asked.where("stays is null").select("row.*")).unionByName(again)

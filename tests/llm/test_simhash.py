@@ -1,4 +1,5 @@
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -18,9 +19,9 @@ def fingerprint(text):
 
 
 def components(prints):
-    ids = [i for i, _ in prints if i is not None]
-    f = np.array([p for i, p in prints if i is not None], dtype=np.uint64)
-    root = {i: i for i in ids}
+    """Smallest id reachable from each fingerprint; None counts as no id."""
+    f = np.array(sorted({p for _, p in prints}), dtype=np.uint64)
+    root = list(range(len(f)))
 
     def find(x):
         while root[x] != x:
@@ -29,18 +30,23 @@ def components(prints):
 
     for k in range(len(f)):
         for j in np.flatnonzero(np.bitwise_count(f[k] ^ f[k + 1 :]) <= 2) + k + 1:
-            a, b = find(ids[k]), find(ids[j])
+            a, b = find(k), find(int(j))
             root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in ids}
+    group = {int(p): find(k) for k, p in enumerate(f)}
+    low = {}
+    for i, p in prints:
+        if i is not None:
+            low[group[p]] = min(i, low.get(group[p], i))
+    return {p: low.get(g) for p, g in group.items()}
 
 
 def test_components_match_brute_force(spark, sf_more):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_more}/documents.parquet").select("doc_id", "text").collect()]
-    rows += [(-1, None), (-2, ""), (-3, " \n"), (-4, "One two"), (-5, "one TWO"), (-6, "É é \u00a0x"), (-7, "a b " * 5000), (-7, "a b " * 5000)]
+    rows += [(-1, None), (-2, ""), (-3, " \n"), (-4, "One two"), (-5, "one TWO"), (-6, "É é \u00a0x"), (-7, "a b " * 5000), (-7, "a b " * 5000), (None, rows[3][1]), (None, "no id at all"), (-8, "unbroken" * 200_000)]
     got = {(r[0], r[1], r[2]) for r in simhash.simhash_components(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, f0 int, component_id int")).collect()}
-    prints = sorted({(i, fingerprint(t)) for i, t in rows})
+    prints = {(i, fingerprint(t)) for i, t in rows}
     root = components(prints)
-    assert got == {(i, f"{p:016x}", root[i]) for i, p in prints}
+    assert got == {(i, f"{p:016x}", root[p]) for i, p in prints}
 
 
 def test_null_ids_ties_and_empty_tables(spark):
@@ -51,16 +57,45 @@ def test_null_ids_ties_and_empty_tables(spark):
     assert simhash.one_of_each(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("radius", [1, 3])
-def test_blocks_and_tiles_find_the_same_links(spark, radius):
+def reachable(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize(("radius", "tile"), [(1, 1 << 14), (3, 1 << 14), (2, 16), (3, 40)])
+def test_blocks_find_all_links(spark, radius, tile):
+    """Against all pairs; with small tiles, groups of one block are dealt out as pairs of tiles."""
     rng = np.random.default_rng(4)
     base = rng.integers(-(2**63), 2**63, 300, dtype=np.int64)
-    f0 = np.concatenate([base, *(base ^ (1 << rng.integers(0, 60, 300)).astype(np.int64) for _ in range(3))])
-    nodes = spark.createDataFrame([(int(f), 0, 50, k) for k, f in enumerate(np.unique(f0))], "f0 long, f1 long, n long, rep long")
-    from prosegrain.llm.common import components as joined
-
-    a, b = (sorted(map(tuple, joined(e).collect())) for e in (simhash.block_edges(nodes, radius), simhash.tile_edges(nodes, radius, 0.8)))
-    assert a == b and a
+    base[:150] = (base[:150] & ~0xFFFFFFFF) | 12345  # one hot block
+    f = np.unique(np.concatenate([base, *(base ^ (1 << rng.integers(0, 60, 300)).astype(np.int64) for _ in range(3))]))
+    i, j = np.nonzero(np.triu(np.bitwise_count(f.view(np.uint64)[:, None] ^ f.view(np.uint64)[None]) <= radius, 1))
+    want = reachable(zip(f[i].tolist(), f[j].tolist()))
+    got = simhash.block_edges(spark.createDataFrame([(int(x),) for x in f], "f0 long"), radius, tile).collect()
+    assert want and reachable((r["a"], r["b"]) for r in got) == want
+    assert len(got) < (10 if tile > 100 else 2000) * len(f)
+
+
+def test_all_pairs_of_a_frequent_shingle_are_looked_at_once_apart(spark):
+    """Rows of one shingle meet unless a root joins them, with and without tiles."""
+    shared = spark.createDataFrame([(7, k, 100, 0) for k in range(90)] + [(8, k, 100, 0) for k in range(5)], "h long, node long, d long, pos long")
+    roots = spark.createDataFrame([(k, 0) for k in range(60)], "node long, root long")
+    nodes = spark.createDataFrame([(k, bytes(64)) for k in range(90)], "node long, bits binary")
+    want = {(a, b) for a in range(90) for b in range(max(a + 1, 60), 90)}
+    for tile in (1 << 14, 20):
+        got = [tuple(r) for r in simhash.others(shared, roots, nodes, Fraction(4, 5), tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    few = simhash.neighbours(shared, Fraction(4, 5)).collect()
+    assert len(set(reachable(map(tuple, few)).values())) == 1 and len(few) <= len(simhash.ORDERS) * 95
 
 
 def near(words, k, rng):
@@ -91,6 +126,15 @@ def test_one_of_each_group_stays(spark):
     assert {r["doc_id"] for r in got if r["its_id"] < 5} == {0, 7, 14, 21, 28}
 
 
+def test_one_of_each_at_the_edges(spark):
+    docs = spark.createDataFrame([(None, None), (None, None), (None, "x y z"), (5, "x y z"), (6, None), (5, "x y z")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect())) == [(5, "x y z"), (6, None)]
+    one = docs.where("doc_id is null and text is null")
+    assert list(map(tuple, simhash.one_of_each(one).collect())) == [(None, None)]
+    names = spark.createDataFrame([(1, "a b", 1, 2, 3), (2, "a b", 1, 2, 3)], "doc_id long, text string, row int, maybe int, its_id int")
+    assert list(map(tuple, simhash.one_of_each(names).collect())) == [(1, "a b", 1, 2, 3)]
+
+
 def planted(n, tail, tag):
     """Two texts of n different words of which the last `tail` differ, and the similarity of their sets of five-word shingles."""
     words = [f"{tag}w{k}" for k in range(n)]
