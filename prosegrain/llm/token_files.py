@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-import uuid
 import zlib
 from functools import lru_cache
 
@@ -19,24 +17,32 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosegrain.llm.common import Batches, bound_batches, column, fresh_path
+from prosegrain.llm.common import Batches, bound_batches, column, fresh_path, located, put, taken
 
 MAGIC = b"PGIDS1\0\0"
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("at", "<u8"), ("length", "<u4"), ("ids", "<u4")])
 #: Compressed bytes and documents after which a task begins another file.
 FILE_BYTES, FILE_DOCS = 32 << 20, 100_000
-#: The dictionary is trained on the heads of so many documents, chosen by hash; it only moves the compression rate.
+#: The dictionary is trained on slices of so many characters at hashed places of so many documents, chosen by hash; this only moves the compression rate.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 1000, 2000, 32 << 10
+#: Words whose ids a worker keeps; beyond, only those of the batch at hand stay.
 CACHE = 700_000
+#: Words whose ids are put together at once.
+WORDS_AT_ONCE = 1 << 18
 #: Tasks that read files back, at most.
 READERS = 5000
-#: Stands for the ids of a word that cannot be cut out of its text; no ids have its length.
-ODD = b"odd"
+#: Stands for the number of ids of a word that cannot be cut out of its text.
+ODD = -1
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
@@ -60,50 +66,74 @@ class Encoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.line_end = self.tok.encode("\n", add_special_tokens=False).ids
-        #: ids of words as they follow a space or, with it, a line end, and of punctuation; ODD for what makes a text go whole.
-        self.seen: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        #: words as they follow a space or, with it, a line end; where their ids begin in flat, and how many there are.
+        self.words, self.flat = pa.array([], pa.large_string()), np.zeros(0, dtype="<u4")
+        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.tails: dict[str, np.ndarray] = {}
 
     def ids(self, strings: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
 
     #: Printable ASCII or letters at both ends, so that a cut parts no run of white space.
-    SAFE = re.compile(r"[!-~\u00c0-\u024f](.*[!-~\u00c0-\u024f])?", re.DOTALL)
+    SAFE = "(?s)^\n?[!-~\u00c0-\u024f](.*[!-~\u00c0-\u024f])?$"
 
     #: Punctuation after a letter is a pre-token of its own (an apostrophe may not be), so it can be cut off.
-    TAIL = re.compile(r'(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,!?;:#$%&*|)"]+)', re.DOTALL)
-
-    def learn(self, words: list[str], between: str) -> None:
-        """words: without the space or line end before them."""
-        for k in range(0, len(words), 500):
-            part = words[k : k + 500]
-            ids = np.array(self.tok.encode_batch_fast([between + between.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            starts = np.flatnonzero(self.spaced[ids] if between == " " else ids == self.line_end[0])
-            assert len(starts) == len(part)
-            raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            self.seen.update(zip(part if between == " " else ["\n" + w for w in part], (raw[i:j] for i, j in zip(at, at[1:]))))
-
-    def look_up(self, words: list[str]) -> list[bytes]:
-        """ids of different words, or ODD."""
-        known = list(map(self.seen.get, words))
-        new = [k for k, x in enumerate(known) if x is None]
-        if len(self.seen) + len(new) > CACHE:  # what this batch has is worth keeping
-            self.seen = {w: x for w, x in zip(words, known) if x is not None}
-        seen, cut = self.seen, {k: m.groups() for k in new if (m := self.TAIL.fullmatch(words[k]))}
-        bases = {cut[k][0] if k in cut else words[k] for k in new}
-        bases = [w for w in bases if w not in seen]
-        safe = [w for w in bases if self.SAFE.fullmatch(w, w[:1] == "\n")]
-        seen.update(dict.fromkeys(bases, ODD))
-        self.learn([w for w in safe if w[0] != "\n"], " ")
-        self.learn([w[1:] for w in safe if w[0] == "\n"], "\n")
-        tails = [t for t in {t for _, t in cut.values()} if t not in self.tails]
-        self.tails.update(zip(tails, (x.tobytes() for x in self.ids(tails))))
-        for k in new:
-            if k in cut:
-                base = seen[cut[k][0]]
-                seen[words[k]] = base if base is ODD else base + self.tails[cut[k][1]]
-            known[k] = seen[words[k]]
-        return known
+    TAIL = '(?s)^(?P<base>.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?P<tail>[.,!?;:#$%&*|)"]+)$'
+
+    def keep(self, words: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        own = np.maximum(sizes, 0)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(own) - own])
+        self.words, self.flat, self.size = pa.concat_arrays([self.words, words]), np.concatenate([self.flat, flat]), np.concatenate([self.size, sizes])
+
+    def learn(self, words: pa.Array) -> None:
+        """words: different and new."""
+        safe = pc.match_substring_regex(words, self.SAFE)
+        breaks = pc.starts_with(words, "\n")
+        for between, chosen in ((" ", pc.and_(safe, pc.invert(breaks))), ("\n", pc.and_(safe, breaks))):
+            part = words.filter(chosen)
+            plain = (part if between == " " else pc.utf8_slice_codeunits(part, 1)).to_pylist()
+            flat, sizes = [], []
+            for k in range(0, len(plain), 500):
+                ids = self.ids([between + between.join(plain[k : k + 500])])[0]
+                starts = np.flatnonzero(self.spaced[ids] if between == " " else ids == self.line_end[0])
+                assert len(starts) == len(plain[k : k + 500])
+                flat.append(ids)
+                sizes.append(np.diff(starts, append=len(ids)))
+            if plain:
+                self.keep(part, np.concatenate(flat), np.concatenate(sizes))
+        rest = words.filter(pc.invert(safe))
+        self.keep(rest, np.zeros(0, dtype="<u4"), np.full(len(rest), ODD))
+
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of different words among those known, all of which are known afterwards."""
+        at = pc.index_in(words, value_set=self.words)
+        if not at.null_count:
+            return np.asarray(at)
+        new = words.filter(pc.is_null(at))
+        if len(self.words) + len(new) > CACHE:  # what this batch has is worth keeping
+            old = np.asarray(at.drop_null())
+            held, flat, size = self.words.take(pa.array(old)), gather(self.flat, self.begin[old], np.maximum(self.size[old], 0)), self.size[old]
+            self.words, self.flat, self.begin, self.size = self.words[:0], self.flat[:0], self.begin[:0], self.size[:0]
+            self.keep(held, flat, size)
+        cut = pc.extract_regex(new, self.TAIL)
+        whole = pc.is_null(cut)
+        bases = pc.if_else(whole, new, pc.struct_field(cut, "base")).unique()
+        self.learn(bases.filter(pc.is_null(pc.index_in(bases, value_set=self.words))))
+        cut, new = cut.drop_null(), new.filter(pc.invert(whole))
+        if len(new):
+            tails = pc.struct_field(cut, "tail").dictionary_encode()
+            names = tails.dictionary.to_pylist()
+            fresh = [t for t in names if t not in self.tails]
+            self.tails.update(zip(fresh, self.ids(fresh)))
+            ends = [self.tails[t] for t in names]
+            lengths = np.array([len(x) for x in ends])
+            base, tail = np.asarray(pc.index_in(pc.struct_field(cut, "base"), value_set=self.words)), np.asarray(tails.indices)
+            odd = self.size[base] < 0
+            sizes = np.stack([np.maximum(self.size[base], 0), np.where(odd, 0, lengths[tail])], axis=1)
+            starts = np.stack([self.begin[base], len(self.flat) + (np.cumsum(lengths) - lengths)[tail]], axis=1)
+            flat = gather(np.concatenate([self.flat, *ends]), starts.ravel(), sizes.ravel())
+            self.keep(new, flat, np.where(odd, ODD, sizes.sum(axis=1)))
+        return np.asarray(pc.index_in(words, value_set=self.words))
 
     def encode(self, docs: pa.Array) -> list[np.ndarray]:
         """ids of each text; a null is empty."""
@@ -113,23 +143,24 @@ class Encoder:
         # every word after one space, and a line end before those that begin a line; what stands before the first space is empty
         words = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("", docs, "\n"))), "\n", " \n"), " ")
         coded = words.flatten().dictionary_encode()
-        at, begin = np.asarray(coded.indices), np.asarray(words.offsets).astype(np.int64)
-        known = self.look_up(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        odd = sizes == len(ODD)
-        sizes[odd] = 0
-        flat = np.frombuffer(b"".join(x for x in known if x is not ODD) if odd.any() else b"".join(known), dtype="<u4")
-        sizes //= 4
-        own = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], own) + np.arange(ends[-1])]
-        odd = odd[at]
+        begin = np.asarray(words.offsets).astype(np.int64)
+        at = self.look_up(coded.dictionary)[np.asarray(coded.indices)]
+        odd = self.size[at] < 0
         odd[begin[:-1]] = False
-        whole = np.add.reduceat(odd, begin[:-1]) > 0
+        whole = np.logical_or.reduceat(odd, begin[:-1])
         for a in self.added:
             whole |= np.asarray(pc.match_substring(docs, a))
-        # the first line has no line end before it
-        out = [ids[i + 1 : j] for i, j in zip(ends[begin[:-1]].tolist(), ends[begin[1:]].tolist())]
+        out: list[np.ndarray] = []
+        first = 0
+        while first < len(docs):
+            last = max(first + 1, int(np.searchsorted(begin, begin[first] + WORDS_AT_ONCE, side="right")) - 1)
+            own = at[begin[first] : begin[last]]
+            sizes = np.maximum(self.size[own], 0)
+            ids = gather(self.flat, self.begin[own], sizes)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[begin[first : last + 1] - begin[first]]
+            # the first line has no line end before it
+            out += [ids[i + 1 : j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            first = last
         again = np.flatnonzero(whole).tolist()
         for k, x in zip(again, self.ids([docs[k].as_py() for k in again])):
             out[k] = x
@@ -145,7 +176,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary trained on serialized id arrays; empty if there is nothing to train on."""
     # a share of the hashes that holds a few times the sample, so that tasks send the driver little whatever the corpus
     share = int(min(1.0, 4 * SAMPLE_DOCS / max(1, docs.count())) * (1 << 30))
-    hashed = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
+    text = F.coalesce("text", F.lit(""))
+    place = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS))
+    hashed = docs.select(F.substring(text, place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64("doc_id").alias("h"))
     first = hashed.where(F.pmod("h", F.lit(1 << 30)) <= share).orderBy("h").limit(SAMPLE_DOCS)
     enc = encoder(tokenizer)
     samples = [x for x in (serialize(i, end_id, enc.width) for i in enc.encode(pa.array([r["text"] for r in first.collect()], pa.string()))) if len(x) > 8]
@@ -163,27 +196,13 @@ def as_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def located(uri: str) -> tuple[arrow_fs.FileSystem, str]:
-    return arrow_fs.FileSystem.from_uri(uri)
-
-
-def put(uri: str, data: list[bytes]) -> None:
-    """Write under another name and rename, so that no reader and no second attempt sees half a file."""
-    store, path = located(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(part := f"{path}.{uuid.uuid4().hex}.part") as out:
-        for x in data:
-            out.write(x)
-    store.move(part, path)
-
-
 def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0) -> None:
     """Write the ids of every whole text of docs (doc_id, text) under uri, in ascending doc_id order, null first.
 
     One shuffle deals the texts out by ranges of doc_id; a task encodes and writes its range, file by file, and holds one file at
     most. A null text is empty and has the end id alone; rows of one doc_id follow each other by their text's hash.
     """
-    bound_batches(docs.sparkSession, rows=3000)
+    bound_batches(docs.sparkSession, rows=5000)
     dictionary = train_dictionary(docs, tokenizer, end_id)
     put(f"{uri}/dictionary", [dictionary])
 
@@ -209,7 +228,8 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0
         if index:
             yield flush()
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
+    # the hash parts rows of one doc_id, or of none, into ranges of their own
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text"))
     dealt = dealt.sortWithinPartitions("doc_id", F.xxhash64("text"))
     dealt.mapInArrow(write, "part bigint, k bigint, name string, docs bigint, ids bigint").write.parquet(f"{uri}/manifest")
 
@@ -239,9 +259,7 @@ class TokenFile:
 
 
 def read_dictionary(uri: str) -> bytes:
-    store, path = located(f"{uri}/dictionary")
-    with store.open_input_stream(path) as f:
-        return f.read()
+    return taken(f"{uri}/dictionary")
 
 
 def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
