@@ -1,10 +1,14 @@
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from prosegrain.llm import mixing
+from prosegrain.llm.common import cut
 from prosegrain.llm.mixing import mix, mix_plan
 from prosegrain.llm.sharding import minimax_cuts, shards
 
@@ -59,6 +63,41 @@ def test_mix_meets_its_targets(spark, sf_more):
     assert mix_plan(frame.limit(0)).collect() == mix(frame.limit(0)).collect() == []
 
 
+def test_documents_are_included_with_their_own_probabilities(spark):
+    """Over many seeds, the copies of documents of each size come to the expected ones, which fall with the size, and each source has its size."""
+    rng = np.random.default_rng(5)
+    sizes = [4] * 60 + [20] * 60 + [90] * 60 + [400] * 30
+    rows = [(k, " ".join(["w"] * n), "ab"[k % 2]) for k, n in enumerate(rng.permutation(sizes).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, of = {k: len(t.split()) for k, t, _ in rows}, {k: s for k, _, s in rows}
+    total = Counter()
+    for k, s in of.items():
+        total[s] += size[k]
+    want = water_filling(total)
+    sized = cut(docs.select(F.col("doc_id").alias("id"), mixing.key_of().alias("mark"), "source", mixing.size_of(F.col("text")).alias("size")), "test-sizes")
+    classes = cut(sized.groupBy("source", mixing.class_of(F.col("size")).alias("class")).agg(F.sum("size").alias("words")), "test-classes")
+    plan = {(r["its_source"], r["its_class"]): r for r in mixing.expected(classes, 1.5, 2.0).collect()}
+    ratio = {k: r["certain"] + r["p"] for k, r in plan.items()}
+    for s in "ab":
+        words = {c: sum(n for k, n in size.items() if of[k] == s and n.bit_length() - 1 == c) for c in (2, 4, 6, 8)}
+        assert abs(sum(ratio[s, c] * n for c, n in words.items()) - want[s]) < 1e-6 * want[s]
+        falls = [ratio[s, c] for c in (2, 4, 6, 8)]
+        assert falls == sorted(falls, reverse=True) and max(falls) <= 2
+        assert all(abs(a * mixing.EVEN**2 - b) < 1e-9 for a, b in zip(falls, falls[1:]) if a < 2)
+    assert len({round(r["p"], 6) for r in plan.values() if r["p"] > 0}) >= 4
+    seeds, got = 24, Counter()
+    for seed in range(seeds):
+        taken = Counter()
+        for r in mix_plan(docs, seed=seed).collect():
+            taken[of[r["doc_id"]]] += r["taken"]
+            got[of[r["doc_id"]], size[r["doc_id"]].bit_length() - 1] += r["taken"] // r["size"]
+        assert all(abs(taken[s] - want[s]) <= 400 for s in "ab")
+    for (s, c), n in got.items():
+        docs_of = sum(of[k] == s and x.bit_length() - 1 == c for k, x in size.items())
+        deviation = math.sqrt(max(1e-9, plan[s, c]["p"] * (1 - plan[s, c]["p"]) / (seeds * docs_of)))
+        assert abs(n / seeds / docs_of - ratio[s, c]) <= 5 * deviation + 0.02, (s, c)
+
+
 def least_capacity(sizes, shards):
     n, best = len(sizes), None
     for cuts in itertools.combinations_with_replacement(range(n + 1), shards - 1):
