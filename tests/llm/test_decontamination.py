@@ -6,15 +6,15 @@ from prosegrain.llm import decontamination as d
 
 
 def brute(docs, items):
-    """Pairs with a window of 13 aligned words of which 10 agree, or all but one (two from 11 on) of a shorter item's."""
+    """Pairs with a window of 13 aligned words of which 10 agree, or all but one (two from 11 on, none below 8) of a shorter item's."""
     out = set()
     for i, t in docs:
         a = d.words(t)
         for k, s in items:
             b = d.words(s)
-            if len(b) < d.SHORTEST:
+            if not b:
                 continue
-            need = 10 if len(b) >= 13 else len(b) - 2 if len(b) > 10 else len(b) - 1
+            need = 10 if len(b) >= 13 else len(b) - 2 if len(b) > 10 else len(b) - 1 if len(b) > 7 else len(b)
             for shift in range(-len(b), len(a) + 1):
                 eq = np.array([0 <= j + shift < len(a) and a[j + shift] == w for j, w in enumerate(b)] + [False] * d.WINDOW, dtype=int)
                 if np.convolve(eq, np.ones(d.WINDOW, int)).max() >= need:
@@ -24,6 +24,7 @@ def brute(docs, items):
 
 
 def test_masks_hit_every_window():
+    assert [d.least(n) for n in (1, 7, 8, 10, 11, 12, 13, 90)] == [1, 7, 7, 9, 9, 10, 10, 10]
     for n in range(d.SHORTEST, d.WINDOW + 1):
         for gone in itertools.combinations(range(n), n - d.least(n)):
             assert any(all(at + o not in gone for o in mask) for mask in d.MASKS for at in range(n - mask[-1])), gone
@@ -43,7 +44,7 @@ def test_pairs_match_brute_force(spark):
                 passage[at] = "swapped"
             ws[20:20] = [w.upper() + "," if i % 4 == 0 else w for w in passage]
         docs.append((i, " ".join(ws)))
-    docs += [(100, None), (101, ""), (102, "x"), (None, items[0][1]), (0, docs[0][1])]
+    docs += [(100, None), (101, ""), (102, "x"), (None, items[0][1]), (0, docs[0][1]), (103, "and " + items[7][1].upper() + "; so on"), (104, items[6][1]), (105, items[6][1].rsplit(" ", 1)[0]), (106, "x y " * 200_000 + items[0][1]), (107, "Unbroken" * 200_000)]
     frame = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, item_id int, agree int")
     bench = spark.createDataFrame([(k, t, 5) for k, t in items], "item_id long, text string, doc_id int")
     got = d.contaminated(frame, bench).collect()
