@@ -1,9 +1,10 @@
 """Token counts by rank-synchronous array merging.
 
-Pre-tokens of a batch lie one behind the other in flat numpy arrays. In each round every sequence merges its
-lowest-rank pair (the leftmost, if several have that rank), all sequences at once, until none has a pair left; what
-survives is counted. One pair for each sequence and round, not all equal pairs, keeps the order of the sequential
-algorithm even where a vocabulary ranks a longer piece before the piece it contains.
+Pre-tokens of a batch lie one behind the other in flat numpy arrays, parted further where no piece of the vocabulary goes across. In
+each round every sequence merges its lowest-rank pair wherever it has it, from left to right, all sequences at once, until
+none has a pair left; what survives is counted. So rounds grow with the different ranks in a sequence, not with its length. Where a
+merge brings forth a pair of the same or a lower rank (a vocabulary may rank a longer piece before the piece it contains),
+equal pairs cannot go together, and that sequence leaves the arrays to be merged pair by pair from a heap.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ from pyspark.sql import DataFrame
 
 from prosegrain.llm.common import Batches, bound_batches, rows_of, texts
 
-#: Pre-tokens of more symbols are merged with a heap; the result is the same, but rounds would take time by the square.
-LONG = 400
 #: Counts kept by a worker; beyond it the memory is emptied, which changes no result.
 CACHE = 600_000
 NONE = np.int64(1) << 62
@@ -34,9 +33,21 @@ class PieceCounter:
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         assert not any(map(sp.is_unused, ids)) and any(map(sp.is_byte, range(sp.get_piece_size())))
-        self.piece = {sp.id_to_piece(i): k for k, i in enumerate(ids)}
-        scores = np.array([sp.get_score(i) for i in ids])
-        rank = np.unique(-scores, return_inverse=True)[1]
+        self.set_up([sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids])
+        self.seen: dict[str, int] = {}
+        self.line_end = self.unknown("\n") if "\n" not in self.piece else 1
+
+    @classmethod
+    def of_pieces(cls, pieces: list[str], scores: list[float]) -> PieceCounter:
+        """Without a library: merges only."""
+        out = cls.__new__(cls)
+        out.set_up(pieces, scores)
+        return out
+
+    def set_up(self, pieces: list[str], scores: list[float]) -> None:
+        """pieces without control, unknown and byte pieces."""
+        self.piece = {p: k for k, p in enumerate(pieces)}
+        rank = np.unique(-np.array(scores), return_inverse=True)[1]
         inside = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
         #: No piece goes on with the space mark after another character, and none has a line end: the text falls apart there.
         assert not any(x[1] == "▁" and x[0] != "▁" or "\n" in x for x in inside)
@@ -49,12 +60,17 @@ class PieceCounter:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.int64)
+        #: For each symbol, whether every pair that it can be part of has a higher rank than the symbol itself; only others are looked at one by one.
+        lowest = np.full(len(pieces), np.iinfo(np.int64).max)
+        for side in (self.keys >> 32, self.keys & 0xFFFFFFFF):
+            np.minimum.at(lowest, side, self.ranks)
+        self.calm = lowest > rank
+        #: Neighbouring characters that some piece has; a text falls apart between all others.
+        self.joint = np.array(sorted(ord(x[0]) << 32 | ord(x[1]) for x in inside), dtype=np.int64)
         self.alone = np.full(0x110000, -1, dtype=np.int64)
         for p, k in self.piece.items():
             if len(p) == 1:
                 self.alone[ord(p)] = k
-        self.seen: dict[str, int] = {}
-        self.line_end = self.unknown("\n") if "\n" not in self.piece else 1
 
     @staticmethod
     def unknown(c: str) -> int:
@@ -80,49 +96,32 @@ class PieceCounter:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), at, -1)
 
-    def merge(self, words: list[str]) -> np.ndarray:
-        """Symbols that survive in each word; symbols no piece has count as their bytes."""
-        total = np.zeros(len(words), dtype=np.int64)
-        chars = "".join(words)
-        code = np.frombuffer(chars.encode("utf-32-le"), dtype="<u4")
-        sym, seq = self.alone[code], np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-        if len(odd := np.flatnonzero(sym < 0)):
-            np.add.at(total, seq[odd], [self.unknown(chars[i]) - 1 for i in odd.tolist()])
-        at = np.append(self.look_up(sym[:-1], sym[1:]), -1)
-        at[:-1][seq[:-1] != seq[1:]] = -1
-        while len(sym):
-            order = np.where(at >= 0, self.ranks[at] << 32 | np.arange(len(sym)), NONE)
-            starts = np.flatnonzero(np.diff(seq, prepend=-1))
-            best = np.minimum.reduceat(order, starts)
-            sizes = np.diff(starts, append=len(sym))
-            done = best == NONE
-            total[seq[starts[done]]] += sizes[done]
-            here = best[~done] & 0xFFFFFFFF
-            sym[here] = self.merged[at[here]]
-            keep = np.repeat(~done, sizes)
-            keep[here + 1] = False
-            now = (np.cumsum(keep) - 1)[here]
-            sym, seq, at = sym[keep], seq[keep], at[keep]
-            # only the pairs to the left and right of a merge are new
-            for i in (now, now[now > 0] - 1):
-                j = np.minimum(i + 1, len(sym) - 1)
-                at[i] = np.where((i < j) & (seq[i] == seq[j]), self.look_up(sym[i], sym[j]), -1)
-        return total
+    def wild(self, sym: np.ndarray, seq: np.ndarray, at: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """For each place to merge, whether the merged symbol makes a pair of no higher rank with what stands beside it then."""
+        out = ~self.calm[self.merged[at[here]]]
+        k = np.flatnonzero(out)
+        if len(k):
+            i, end = here[k], len(sym) - 1
+            new, rank = self.merged[at[i]], self.ranks[at[i]]
+            beside = ((np.where(i > 0, sym[i - 1], -1), new, seq[i - 1] == seq[i]), (new, sym[np.minimum(i + 2, end)], (i + 2 <= end) & (seq[np.minimum(i + 2, end)] == seq[i])), (new, new, np.ones(len(i), bool)))
+            out[k] = False
+            for left, right, same in beside:
+                pair = self.look_up(left, right)
+                out[k] |= same & (pair >= 0) & (self.ranks[pair] <= rank)
+        return out
 
-    def merge_long(self, word: str) -> int:
-        """The same for one long word, with a heap of pairs and linked neighbours."""
-        sym = [self.piece.get(c, -1) for c in word]
-        n, extra = len(sym), sum(self.unknown(c) - 1 for c, s in zip(word, sym) if s < 0)
+    def one_by_one(self, sym: list[int]) -> int:
+        """Symbols that survive in one sequence, with a heap of pairs and linked neighbours."""
+        n = left = len(sym)
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def offer(i: int) -> None:
             j = after[i]
-            if i >= 0 and j < n and sym[i] >= 0 and sym[j] >= 0 and (x := self.pairs.get(sym[i] << 32 | sym[j])):
+            if j < n and sym[i] >= 0 and sym[j] >= 0 and (x := self.pairs.get(sym[i] << 32 | sym[j])):
                 heapq.heappush(heap, (x[0], i, sym[i], sym[j], x[1]))
 
         for i in range(n - 1):
             offer(i)
-        left = n
         while heap:
             _, i, a, b, to = heapq.heappop(heap)
             j = after[i]
@@ -135,14 +134,56 @@ class PieceCounter:
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        return left + extra
+        return left
+
+    def merge(self, words: list[str]) -> np.ndarray:
+        """Symbols that survive in each word; symbols no piece has count as their bytes."""
+        chars = "".join(words)
+        code = np.frombuffer(chars.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        sym = self.alone[code]
+        total = np.zeros(len(words), dtype=np.int64)
+        if len(odd := np.flatnonzero(sym < 0)):
+            np.add.at(total, word[odd], [self.unknown(chars[i]) - 1 for i in odd.tolist()])
+        near = code[:-1] << 32 | code[1:]
+        where = np.minimum(np.searchsorted(self.joint, near), len(self.joint) - 1)
+        apart = (word[:-1] != word[1:]) | (self.joint[where] != near)
+        seq = np.concatenate([[0], np.cumsum(apart)]) if len(code) else code
+        owner = word[np.flatnonzero(np.diff(seq, prepend=-1))]
+        at = np.append(self.look_up(sym[:-1], sym[1:]), -1)
+        at[:-1][apart] = -1
+        while len(sym):
+            starts = np.flatnonzero(np.diff(seq, prepend=-1))
+            sizes = np.diff(starts, append=len(sym))
+            rank = np.where(at >= 0, self.ranks[at], NONE)
+            best = np.minimum.reduceat(rank, starts)
+            done = best == NONE
+            np.add.at(total, owner[seq[starts[done]]], sizes[done])
+            here = np.flatnonzero((rank == np.repeat(best, sizes)) & (rank != NONE))
+            # of neighbours, which overlap, every second one from the left
+            run = np.flatnonzero(np.diff(here, prepend=-2) != 1)
+            place = np.arange(len(here)) - np.repeat(run, np.diff(run, append=len(here)))
+            here = here[place % 2 == 0]
+            if len(here) and (odd := self.wild(sym, seq, at, here)).any():
+                number = np.cumsum(np.diff(seq, prepend=-1) != 0) - 1
+                for k in np.unique(number[here[odd]]).tolist():
+                    done[k] = True
+                    total[owner[seq[starts[k]]]] += self.one_by_one(sym[starts[k] : starts[k] + sizes[k]].tolist())
+                here = here[~done[number[here]]]
+            sym[here] = self.merged[at[here]]
+            keep = np.repeat(~done, sizes)
+            keep[here + 1] = False
+            now = (np.cumsum(keep) - 1)[here]
+            sym, seq, at = sym[keep], seq[keep], at[keep]
+            # only the pairs to the left and right of a merge are new
+            for i in (now, now[now > 0] - 1):
+                j = np.minimum(i + 1, len(sym) - 1)
+                at[i] = np.where((i < j) & (seq[i] == seq[j]), self.look_up(sym[i], sym[j]), -1)
+        return total
 
     def counts(self, docs: list[str]) -> list[int]:
         split, seen = [self.split(x) if x else ([], 0) for x in docs], self.seen
         new = list({w for words, _ in split for w in words if w not in seen})
-        for w in [w for w in new if len(w) > LONG]:
-            seen[w] = self.merge_long(w)
-        new = [w for w in new if len(w) <= LONG]
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             seen.update(zip(part, self.merge(part).tolist()))
@@ -162,7 +203,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     """Tokens of every whole text of docs (doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
 
     One narrow pass without a shuffle. model_file is a path that every executor has. Null and empty texts have 0
-    bytes and 0 tokens; repeated rows and null doc_ids give a row each; other columns of docs are not read.
+    bytes and 0 tokens; texts and unbroken words of any length are merged whole; repeated rows and null doc_ids give a row
+    each; an empty table gives an empty result; other columns of docs are not read.
     """
     bound_batches(docs.sparkSession)
 

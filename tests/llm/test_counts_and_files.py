@@ -1,6 +1,7 @@
 """Token counts and token-ID files, held against the libraries."""
 
 import json
+import random
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from prosegrain.llm import token_files as tf
 from prosegrain.llm.common import fresh_path
-from prosegrain.llm.token_counts import LONG, PieceCounter, token_counts
+from prosegrain.llm.token_counts import PieceCounter, token_counts
 
 MODEL, BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -35,10 +36,24 @@ def test_counts_are_the_librarys(spark, texts):
     assert token_counts(docs.limit(0), MODEL).collect() == []
 
 
-def test_rounds_and_heap_agree():
-    count = PieceCounter(MODEL)
-    words = [w for w in ("▁" + "ab" * 60, "▁internationalization", "▁" + "é" * 90, "x" * (LONG - 1), "▁𠮷a𠮷")]
-    assert count.merge(words).tolist() == [count.merge_long(w) for w in words]
+def test_long_words_are_merged_whole():
+    """Unbroken words and runs of hundred thousands of characters, by rounds that grow with their different ranks."""
+    rng = random.Random(3)
+    letters = ("abcdefghijklmnopqrstuvwxyz", "ein schönes", "日本語一二三中文字", "01", "= -")
+    words = ["a" * 100_001, "the" * 40_000, " " * 60_000, "=" * 70_001, "ab" * 40_001 + " x", *("".join(rng.choice(x) for _ in range(60_000)) for x in letters)]
+    count, sp = PieceCounter(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert count.counts(words) == [len(sp.encode(w)) for w in words]
+
+
+def test_equal_pairs_go_together_only_where_the_order_stays():
+    """Small vocabularies in which longer pieces come before what they contain, against merging one pair at a time."""
+    rng = random.Random(4)
+    for _ in range(300):
+        pieces = list(dict.fromkeys(["a", "b", "c", *("".join(rng.choice("abc") for _ in range(rng.randrange(2, 5))) for _ in range(12))]))
+        rng.shuffle(pieces)
+        count = PieceCounter.of_pieces(pieces, [-k for k in range(len(pieces))])
+        words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))) for _ in range(20)] + ["a" * 33, "abc" * 9]
+        assert count.merge(words).tolist() == [count.one_by_one([count.piece[c] for c in w]) for w in words]
 
 
 def test_files_hold_the_librarys_ids(spark, texts):
@@ -69,9 +84,13 @@ def test_one_document_is_read_alone_and_a_wrong_dictionary_is_refused(spark, tex
         tf.TokenFile(f"{uri}/{name}", dictionary + b"x")
 
 
-def test_the_encoder_leaves_nothing_out():
+def test_the_encoder_leaves_nothing_out(monkeypatch):
     enc, tok = tf.Encoder(BPE), Tokenizer.from_file(BPE)
     import pyarrow as pa
 
-    for x, got in zip(ODD, enc.encode(pa.array(ODD))):
-        assert got.tolist() == tok.encode(x, add_special_tokens=False).ids, json.dumps(x)
+    for kept in (tf.CACHE, 3):  # with a small memory words are learned again and again
+        monkeypatch.setattr(tf, "CACHE", kept)
+        for x, got in zip(ODD * 2, [*enc.encode(pa.array(ODD)), *enc.encode(pa.array(ODD))]):
+            assert got.tolist() == tok.encode(x, add_special_tokens=False).ids, json.dumps(x)
+    long = ["x" * 200_000, "a b. " * 60_000, "word" * 30_000 + ".\n" + "!" * 50_000]
+    assert [x.tolist() for x in enc.encode(pa.array(long))] == [tok.encode(x, add_special_tokens=False).ids for x in long]
