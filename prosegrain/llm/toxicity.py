@@ -9,6 +9,8 @@ of a text gives its score by a logistic curve fitted on the same sample.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -18,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrain.llm.common import Batches, bound_batches, column, rows_of, ship
+from prosegrain.functions.ship import ship
+from prosegrain.llm.common import Batches, bound_batches, column, cut, rows_of
 from prosegrain.llm.labelled import held_out, sample
 
 FOLDS, FOLD = 4, 2
@@ -26,11 +29,12 @@ FOLDS, FOLD = 4, 2
 SAMPLE_ROWS = 12_000
 #: Letters of a stem; different words that a stem may ask for; letters of a word that may be misspelled.
 STEM, REPEATS, FUZZY = (4, 10), (1, 2, 3), 5
-#: Candidates and entries of the lexicon, at most: what is broadcast.
-CANDIDATES, ENTRIES = 200_000, 2_000
+#: Words and automaton steps that a worker keeps.
+KEPT = 400_000
 WORDS = re.compile(r"[^\W_]+")
-TOKENS = re.compile(r"[^\W_]+|[\"“”«»„‘’]")
-QUOTES = frozenset("\"“”«»„‘’")
+#: Marks of quotation: one that opens stands before a word and after none, one that closes after a word or its punctuation.
+MARKS = re.compile(r"(?P<open>(?<![^\s(\[—–-])[\"“”«»„‘‚](?=\w))|(?<=[\w.,!?;:…)])[\"“”«»‘’](?!\w)")
+MARK = re.compile(r"[\"“”«»„‘’‚]")
 REPORTS = frozenset("said says say called calls wrote writes quote quoted quotes word words term terms slur slurs insult insults reported dit écrit mot mots sagte schrieb wort wörter dijo escribió palabra palabras".split())
 ADDRESS = frozenset("you your yours youre ur tu toi te vous ton ta du dich dir ihr euch usted ustedes ti".split())
 #: Weight of a misspelled hit, of a reported or quoted one, of one in an address; words of context on either side.
@@ -44,6 +48,21 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def quoted(low: str) -> set[int]:
+    """Places of the words that stand between a mark that opens and the next one that closes, however far apart."""
+    if not MARK.search(low):
+        return set()
+    starts, out, opened = [m.start() for m in WORDS.finditer(low)], set(), -1
+    for m in MARKS.finditer(low):
+        at = bisect.bisect(starts, m.start())
+        if m.lastgroup:
+            opened = at
+        elif opened >= 0:
+            out.update(range(opened, at))
+            opened = -1
+    return out
+
+
 def terms(ws: set[str], among: set[Term] | None = None) -> set[Term]:
     """The terms of a text with these different words, or those among the given ones."""
     stems = Counter(w[:n] for w in ws for n in range(STEM[0], min(len(w), STEM[1]) + 1))
@@ -84,6 +103,18 @@ def surely(toxic: int, clean: int, base: float, tried: int) -> bool:
     return gain >= math.log(tried) + 3
 
 
+def apart(terms: list[Term]) -> list[Term]:
+    """The terms without those that an earlier one covers or that cover an earlier one: of a stem and what begins with it, the earlier, and a word or stem once."""
+    out, stems, begun, whole = [], set(), set(), set()
+    for term, repeats in terms:
+        heads = {term[:n] for n in range(1, len(term) + 1)}
+        if stems.isdisjoint(heads) and (term not in begun if repeats else term not in whole):
+            out.append((term, repeats))
+            begun |= heads
+            (stems if repeats else whole).add(term)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[Entry], tuple[float, float]]:
     """The lexicon and the curve, from a bounded sample."""
     ship(docs.sparkSession)
@@ -92,15 +123,15 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     toxic, total = n.get(1, 0), sum(n.values())
     if not toxic or toxic == total:
         return [], (math.log((toxic + 0.5) / (total - toxic + 0.5)) if total else -2.0, 0.0)
-    often = term_counts(texts.where("label = 1"), None).where("n >= 3").orderBy(F.desc("n"), "term", "repeats").limit(CANDIDATES)
-    yes = {(r["term"], r["repeats"]): r["n"] for r in often.collect()}
+    often = cut(term_counts(texts.where("label = 1"), None).where("n >= 3"), "terms")
+    tried = often.count()
+    # what even no clean text could make sure of goes first; the significance that is asked for bounds the rest
+    least = next(n for n in itertools.count(3) if n > toxic or surely(n, 0, toxic / total, tried))
+    yes = {(r["term"], r["repeats"]): r["n"] for r in often.where(F.col("n") >= least).collect()}
     no = {(r["term"], r["repeats"]): r["n"] for r in term_counts(texts.where("label = 0"), set(yes)).collect()}
-    sure = [t for t in yes if surely(yes[t], no.get(t, 0), toxic / total, len(yes))]
+    sure = [t for t in yes if surely(yes[t], no.get(t, 0), toxic / total, tried)]
     sure.sort(key=lambda t: (3 * no.get(t, 0) - yes[t], t[1] > 0, -len(t[0]), t))
-    lexicon: list[Term] = []
-    for t in sure:  # of terms of which one begins the other, the best
-        if len(lexicon) < ENTRIES and not any(t[0].startswith(x[0]) if x[1] else x[0].startswith(t[0]) if t[1] else x[0] == t[0] for x in lexicon) and not (t[1] and any(x[0].startswith(t[0]) for x in lexicon)):
-            lexicon.append(t)
+    lexicon = apart(sure)
     # a hit weighs as its term's log odds, by those of a term that 50 toxic texts and no clean one have
     weighed = [(*t, round(min(1.5, max(0.2, math.log((yes[t] + 0.5) / (no.get(t, 0) + 0.5)) / math.log(101))), 3)) for t in lexicon]
     masses = score_masses(texts.select("label", "text"), weighed)
@@ -152,6 +183,16 @@ class Matcher:
         self.start = self.state({(0, 0)})
         self.clean: set[str] = set()
 
+    def forget(self) -> None:
+        """Empty what only saves time, before it grows beyond bounds."""
+        if len(self.clean) > KEPT:
+            self.clean.clear()
+        if len(self.steps) > KEPT:
+            self.steps.clear()
+            self.sets.clear()
+            self.number.clear()
+            self.start = self.state({(0, 0)})
+
     def state(self, pairs: set[tuple[int, int]]) -> int:
         """The state of these pairs, letters of the lexicon left out included; -1 if there is none."""
         pairs |= {(k, e + 1) for n, e in pairs if e < 1 for k in self.child[n].values() if self.fuzzy[k]}
@@ -197,22 +238,18 @@ class Matcher:
     def mass(self, text: str | None) -> float:
         """Weight of the different toxic words of a text; a word counts by its worst context, a stem from as many words as it asks for."""
         low = (text or "").lower()
-        new = set(WORDS.findall(low)).difference(self.clean)
+        tokens = WORDS.findall(low)
+        new = set(tokens).difference(self.clean)
         hits = {w: m for w in new if (m := self.match(w))}
         self.clean.update(new.difference(hits))
-        if len(self.clean) > 400_000:
-            self.clean.clear()
+        self.forget()
         if not hits:
             return 0.0
-        weight = dict.fromkeys(hits, 0.0)
-        tokens, quoted = TOKENS.findall(low), 0
+        weight, inside = dict.fromkeys(hits, 0.0), quoted(low)
         for i, w in enumerate(tokens):
-            if w in QUOTES:
-                quoted = i + 1 if not quoted else 0
-            elif w in weight and weight[w] < ADDRESSED:
+            if w in weight and weight[w] < ADDRESSED:
                 around = tokens[max(0, i - CONTEXT) : i + CONTEXT + 1]
-                in_quotes = quoted and any(x in QUOTES for x in tokens[i + 1 : i + 40])
-                here = REPORTED if in_quotes or not REPORTS.isdisjoint(around) else ADDRESSED if not ADDRESS.isdisjoint(around) else 1.0
+                here = REPORTED if i in inside or not REPORTS.isdisjoint(around) else ADDRESSED if not ADDRESS.isdisjoint(around) else 1.0
                 weight[w] = max(weight[w], here)
         total, stems = 0.0, {}
         for w, (entry, edits) in hits.items():
@@ -254,6 +291,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: i
     """One row for each row of docs (doc_id, text): doc_id, held_out, score, predicted, mass.
 
     labels (doc_id, toxic) of the fold that is held out are not read into the model. Whole texts are scored in one narrow pass.
+    The lexicon has as many entries as the sample makes sure of. Texts and quotations of any length count whole.
     Null and empty texts have no hits and get the curve's lowest score; without labels of both kinds all scores are the
     share of toxic ones; null doc_ids are not held out; repeated rows are rows of their own; other columns are not read.
     """

@@ -3,7 +3,7 @@ import zlib
 import pytest
 
 from prosegrain.llm.quality_classifier import Ranking, quality_classifier
-from prosegrain.llm.toxicity import Matcher, toxicity, without_toxic
+from prosegrain.llm.toxicity import Matcher, apart, toxicity, without_toxic
 
 
 def auc(rows):
@@ -96,6 +96,28 @@ def test_context_separates_reports_from_abuse():
     assert 0 < m.mass("a wretchlung") < plain and m.mass(None) == m.mass("") == 0
 
 
+def test_quotations_of_any_length_and_unpaired_marks():
+    m = Matcher([("wretchling", 0, 1.0)])
+    plain, quote = m.mass("a wretchling"), m.mass('the text has "wretchling" in it')
+    long = " ".join(f"w{k}" for k in range(300))
+    assert m.mass(f'he began: "{long} wretchling {long}", and so on') == quote
+    assert m.mass(f"« wretchling» {long}") == m.mass(f'"{long} wretchling {long}') == m.mass(f'it is 5" long, wretchling, {long}, and 6" wide') == plain
+    assert m.mass(f'"{long}" wretchling "{long}"') == m.mass(f"don't, wretchling, can't") == plain
+
+
+def test_a_lexicon_has_no_entry_that_another_covers():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        terms = list({("".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))), rng.randrange(3)) for _ in range(12)})
+        want = []
+        for t, r in terms:
+            if not any(s and t.startswith(x) or r and x.startswith(t) or not s and not r and x == t for x, s in want):
+                want.append((t, r))
+        assert apart(terms) == want
+
+
 def test_ranking_orders_pairs():
     import numpy as np
 
