@@ -1,12 +1,13 @@
 """The prose rules. Each takes documents with scopes and settings, and returns file, line, seq, value, word.
 
 value is the measure that the rule compares, word what it found. Rules that look at runs or at a whole document work inside the
-document's row; only `near_duplicate` compares rows, and shuffles them by document and pair of letters.
+document's row; only `near_duplicate` compares rows, and shuffles them by document and pair of tiles.
 """
 
 from __future__ import annotations
 
 import zlib
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 from prosegrain.config import UNITS, Config
 from prosegrain.functions.text import JA, bound, fenced, first_match, ltrim, matches, rtrim, text, times, trim
 from prosegrain.operators.scopes import BULLET, exploded
+from prosegrain.operators.similar import close_pairs
 
+#: The words, endings and forms that the rules are defined by.
 CONNECTOR = "^(?:また|さらに|そして|加えて|一方|なお|ただし|つまり|次に|まず)、"
 HEDGE = "と思われ|と考えられ|かもしれ|のではないか|ではないだろうか|気がする|感じがする|ように思|ように見え|とみられ"
 DOUBLE_NEGATIVE = "なくはな|なくもな|ないことはな|ないとは[言い]えな|ないわけではな"
@@ -274,23 +277,24 @@ def low_information_density(d: DataFrame, c: Config) -> DataFrame:
     return bits_per_char(d, c).where("value < 11.0")
 
 
+def near_units(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a document's different unit texts with a cosine of 0.65 or more (file, a, b, cosine), and the units that have each text
+    (file, id, seq, line): as much as near_duplicate() says, without a row for each two of many equal units."""
+    u = exploded(d, "units").where(F.length("text") >= 40).select("file", "seq", "line", F.regexp_replace("text", r"(?U)\s+", "").alias("t"))
+    own = u.groupBy("file", "t").agg(F.min("seq").alias("id"))
+    return close_pairs(own, Fraction(13, 20)), u.join(own, ["file", "t"]).select("file", "id", "seq", "line")
+
+
 def near_duplicate(d: DataFrame, c: Config) -> DataFrame:
     """Pairs of a document's units whose pairs of letters have a cosine of 0.65 or more, at the later one's line; word is the earlier one's line.
 
-    Units that agree without white space are compared once, and their pairs made afterwards.
+    Units that agree without white space are compared once, and their pairs made afterwards. The rule asks for all pairs; near_units() has
+    pairs of different texts and who has them instead.
     """
     u = exploded(d, "units").where(F.length("text") >= 40).select("file", "seq", "line", F.regexp_replace("text", r"(?U)\s+", "").alias("t"))
     own = u.groupBy("file", "t").agg(F.min("seq").alias("id"))
-    letters = F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0))
-    both = bound(letters, lambda cs: F.filter(F.transform(cs, lambda x, i: F.concat(x, F.get(cs, i + 1))), lambda b: b.isNotNull()))
-    grams = own.select("file", "id", F.explode(both).alias("gram")).groupBy("file", "id", "gram").agg(F.count("*").alias("n"))
-    norms = grams.groupBy("file", "id").agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("norm"))
-    a, b = (grams.select("file", "gram", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    dots = a.join(b, ["file", "gram"]).where("a < b").groupBy("file", "a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("dot"))
-    na, nb = (norms.select("file", F.col("id").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
-    near = 400.0 * F.col("dot") * F.col("dot") >= 169.0 * F.col("norm_a") * F.col("norm_b")  # whole numbers, so a cosine of just 0.65 is not lost
-    close = dots.join(na, ["file", "a"]).join(nb, ["file", "b"]).where(near).withColumn("cosine", F.col("dot") / F.sqrt(F.col("norm_a") * F.col("norm_b")))
-    close = close.select("file", "a", "b", "cosine").unionByName(norms.select("file", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
+    apart = close_pairs(own, Fraction(13, 20))
+    close = apart.unionByName(own.select("file", F.col("id").cast("long").alias("a"), F.col("id").cast("long").alias("b"), F.lit(1.0).alias("cosine")))
     members = u.join(own, ["file", "t"]).select("file", "id", "seq", "line")
     ma, mb = (members.select("file", F.col("id").alias(x), F.col("seq").alias(f"seq_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab")
     pairs = close.join(ma, ["file", "a"]).join(mb, ["file", "b"]).where("a <> b or seq_a < seq_b")

@@ -82,3 +82,57 @@ def test_jargon(spark, register, which):
     found = jargon.jargon_export(scopes(documents(docs)), Config(register=register, jargon=("campaign", "menu", "policy", "scope", "quota"))).collect()
     assert [sorted(r["word"] for r in found if r["file"] == f"f{k}") for k in range(len(JARGON))] == [c[which] for c in JARGON]
     assert jargon.jargon_export(scopes(documents(docs)), Config(jargon=("menu",))).collect() == []
+
+
+def test_cosines_match_brute_force_whatever_the_tiles(spark):
+    import random
+    from collections import Counter
+    from fractions import Fraction
+
+    from prosegrain.operators.similar import close_pairs
+
+    rng, rows = random.Random(6), []
+    for f in range(3):
+        base = ["".join(rng.choice("あいうえ𠮷") for _ in range(rng.randrange(2, 12))) for _ in range(6)]
+        texts = list(dict.fromkeys(base + [b[:-1] + rng.choice("あかさ") for b in base] + [b + b for b in base] + ["あい", "あいあいあ", "い" * 5]))
+        rows += [(f"f{f}", k, t) for k, t in enumerate(texts[: len(texts) if f else 1])]
+    grams = {(f, k): Counter(zip(t, t[1:])) for f, k, t in rows}
+    want = {}
+    for (f, a), x in grams.items():
+        for (g, b), y in grams.items():
+            if f == g and a < b:
+                dot, norm = sum(n * y[w] for w, n in x.items()), sum(n * n for n in x.values()) * sum(n * n for n in y.values())
+                if 400 * dot * dot >= 169 * norm:
+                    want[f, a, b] = dot / norm**0.5
+    units = spark.createDataFrame(rows, "file string, id int, t string")
+    for tile in (2, 5, 1024):
+        got = close_pairs(units, Fraction(13, 20), tile).collect()
+        assert len(got) == len(want) and all(abs(want[r["file"], r["a"], r["b"]] - r["cosine"]) < 1e-9 for r in got)
+
+
+def test_near_units_say_as_much_as_all_pairs(spark):
+    d = scopes(spark.createDataFrame([("f", f"{PARA}\n\n{PARA}\n\n{PARA.replace('最後に', '終わりに')}\n\n{PARA}")], "file string, text string"))
+    pairs, members = (x.collect() for x in rules.near_units(d))
+    assert len(pairs) == 1 and sorted((r["id"], r["line"]) for r in members) == [(1, 1), (1, 3), (1, 7), (3, 5)]
+    assert rules.near_duplicate(d, Config()).count() == 6
+
+
+def test_marked_names_and_cells_of_html():
+    from prosegrain.operators.html import marked
+
+    page = '<table class="mono"><tr><th>alpha x</th><td>b</td></tr>\n<tr><td><code>beta</code></td><td>c</td></tr></table><dl><dt>gamma<dd>d</dl><i class="a mono">run <b>it</b> now</i><p title=">">x</p>'
+    got = marked(page)
+    assert got["cells"][:2] == ["alpha x", "<code>beta</code>"] and "run it" in got["names"] and marked(None) == marked("no tags") == {"names": [], "cells": []}
+
+
+def test_many_code_elements_take_time_in_proportion():
+    import time
+
+    from prosegrain.operators.html import strip_html
+
+    took = []
+    for n in (2_000, 16_000):
+        begin = time.process_time()
+        assert "x" not in strip_html("<p>a <code>x</code> <pre>x<code>x</code></pre></p>\n" * n)
+        took.append(time.process_time() - begin)
+    assert took[1] < 24 * took[0] + 0.5
