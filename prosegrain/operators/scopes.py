@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prosegrain.functions.text import CUT, DOLLAR, GAP, MARK, MARKS, NAMED, bound, fenced, lines_of, ltrim, rtrim, text, times, trim
 
+#: What is no prose, and what begins a list item.
 FENCE = "```"
 BULLET = r"(?:[-*+][ \t]|・|[0-9０-９]+[.．)])"
 #: What is no prose within a line: inline code, addresses, section references, ledger numbers.

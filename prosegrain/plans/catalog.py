@@ -17,7 +17,7 @@ from prosegrain.operators.html import html_text
 from prosegrain.operators.scopes import exploded, scopes
 from prosegrain.plans import oracle
 from prosegrain.plans.check import check
-from prosegrain.plans.fixtures import DOCUMENTS, MORPHEMES
+from prosegrain.plans.fixtures import DOCUMENTS
 from prosegrain.sources import documents, lexicons
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,11 +118,34 @@ def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coinage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    morphemes = spark.createDataFrame(MORPHEMES, coinage.SCHEMA)
-    return coinage.coinages(morphemes).select("file", "line", "compound", F.array_join("components", "+").alias("components"), "strict")
-
-
-COINAGES = "select * from (values ('m1', 1::int, '家造語', '家+造語', true), ('m1', 2::int, '三床', '三+床', false), ('m1', 3::int, '測定法', '測定+法', false), ('m2', 1::int, 'slop軸', 'slop+軸', true), ('m2', 2::int, '機械床', '機械+床', true)) v(file, line, compound, components, strict)"
+    """Compounds of all lines of documents, by a made-up tokenizer that SQL can follow: what a word is goes by its number of letters."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    lines = docs.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "text"))
+
+    def morpheme(w: Column) -> Column:
+        n = F.length(w)
+        first = F.when(n % 4 == 2, F.lit("助詞")).when(n % 4 == 3, F.lit("接尾辞")).otherwise(F.lit("名詞"))
+        second = F.when(n % 4 == 0, F.lit("普通名詞")).when(n % 4 == 1, F.lit("数詞")).otherwise(F.lit("*"))
+        surface = F.when(n % 8 == 0, F.lit("床")).when(n % 4 == 0, F.concat(F.lit("語"), w)).when(n % 4 == 1, F.concat(F.lit("数"), w)).when(n % 4 == 2, F.lit("は")).otherwise(w)
+        return F.struct(surface.alias("surface"), first.alias("pos1"), second.alias("pos2"), F.lit("一般").alias("pos3"), (n % 16 == 0).alias("has_suffix_reading"))
+
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    found = coinage.coinages(lines.select("file", (F.col("k") + 1).alias("line"), F.transform(words, morpheme).alias("morphemes")))
+    return found.select("file", "line", "compound", F.array_join("components", "+").alias("components"), "strict")
+
+
+COINAGES = """
+with l as (select cast(doc_id as varchar) as file, string_split(coalesce(text, ''), chr(10)) as s from documents),
+x as (select file, generate_subscripts(s, 1) as line, list_filter(string_split(unnest(s), ' '), lambda w: w <> '') as ws from l),
+w as (select file, line, generate_subscripts(ws, 1) as k, unnest(ws) as w from x),
+m as (select *, length(w) as n, length(w) % 4 in (0, 1) as native, length(w) % 4 = 3 and regexp_full_match(w, '[A-Za-z0-9_-]+') and regexp_matches(w, '[A-Za-z]') as latin,
+  case when length(w) % 8 = 0 then '床' when length(w) % 4 = 0 then '語' || w when length(w) % 4 = 1 then '数' || w else w end as surface from w),
+g as (select *, native or latin as content, sum(case when native or latin then 0 else 1 end) over (partition by file, line order by k) as g from m),
+c as (select *, k > min(k) over (partition by file, line, g) as later from g where content)
+select file, cast(line as int) as line, string_agg(surface, '' order by k) as compound, string_agg(surface, '+' order by k) as components,
+  not bool_or(n % 4 = 1) and bool_or(n % 8 = 0 and not (later and n % 16 = 0)) as strict
+from c group by file, line, g having count(*) > 1 and bool_or(native)
+"""
 
 
 def queries() -> dict[str, Query]:

@@ -107,7 +107,7 @@ def coined(scoped: DataFrame, config: Config, tokenizer: Tokenizer) -> DataFrame
     table = lambda words: spark.createDataFrame([(w,) for w in words], "word string") if words else None
     corpus = lexicons.corpus_words(spark, config.coinage_corpus) if config.coinage_corpus and Path(config.coinage_corpus).is_file() else None
     lines = exploded(scoped, "bare").where(~F.col("text").rlike(r"^\s*\|"))
-    found = coinage.coinages(coinage.tokenized(lines, tokenizer), table(config.allow), corpus, table(config.deny)).where("strict")
+    found = coinage.coinages(coinage.tokenized(lines, tokenizer), table(sorted({*config.allow, *config.coinage_allow})), corpus, table(sorted(config.deny))).where("strict")
     message = F.concat(F.col("compound"), F.lit(" is in no dictionary"))
     return found.select("file", "line", F.lit("coinage").alias("detector"), F.lit("dictionary-coinage").alias("rule"), F.lit("advisory").alias("severity"), message.alias("message"), F.to_json(F.struct("compound", "components")).alias("data"), F.lit(len(REGISTRY)).alias("detector_ord"), "seq")
 

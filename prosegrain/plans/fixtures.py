@@ -29,6 +29,44 @@ DOCUMENTS: list[tuple[str, str]] = [
     ("f21", "<!-- prose-ignore exclamation -->\n止まれ！\n進め！\n一つ！ <!-- prose-ignore -->\n二つ！\n三つ！"),
 ]
 
+
+
+def graded(steps: int = 40) -> list[tuple[str, str]]:
+    """Documents in which the measure of each rule rises from below its threshold to above it, in many combinations."""
+    hedges, turns = ("かもしれ", "と考えられ", "と思われ", "気がする"), ("なくはな", "なくもな", "ないことはな", "ないとは言えな", "ないわけではな", "ない", "ないとは書かな")
+    opens, slop = ("また、", "さらに、", "そして、", "加えて、", "一方、"), ("架け橋とな", "いかがでした", "魔法のよう", "潜在能力を引き出", "業界を再定義", "架け橋に", "未来を変える")
+    images, out = ("羅針盤", "旅路", "紡ぎ", "万華鏡", "架け橋", "道標"), []
+    for k in range(steps):
+        c, d, e = KANA[k % len(KANA)], k // 7, k % 7
+        parts = [
+            f"原因は{c}" + "、".join(hedges[: (k + d) % 5 % 4 + (k % 4 == 3)]) + "と書く。",
+            f"影響が{turns[k % 7]}い{c}。" + (f"さらに{turns[d % 7]}いと{c}。" if k % 3 else ""),
+            "".join(("これ", "その", "あの", "ここ", "それ")[: (k + d) % 6]) + f"{c}で決まる。",
+            f"値を{c}することが{('できる', '可能である', '難しい', 'でき', 'あり得る')[k % 5]}。",
+            "高速信号処理装置系統図"[: 5 + (k + d) % 6] + f"を{c}使う。" + "々木主任研究員室"[: 4 + k % 5] + "へ。",
+            "\n".join("- **名**: 文。" if j % 5 or k % 3 else "- 名: 文。" for j in range((k + d) % 6)),
+            f"設定を{('変えます', '変える', '使用方法', '次の通り', '変えた')[k % 5]}{':：'[k % 2]}" + ("\n" if k % 3 else "\n\n") + ("- 項目", "> 引用", "| 表", "文。", "```\n```")[(k + d) % 5],
+            "".join(opens[(j + k) % 5 if j != 2 or k % 4 else 0] + f"{c}を書く。" for j in range((k + d) % 6)) + "普通の文だ。",
+            "→" * (k % 3) + f"値{c}⇒終わり。" * (d % 3),
+            f"条{c}{'＝=' [k % 2]}一致。" + f"値＝{'ok5あ'[k % 4]}とする。" * (d % 3),
+            "（" + "・".join("赤青緑黄"[: (k + d) % 5]) + "）と(a・b)。" + ("（上・下・左）" if k % 2 else ""),
+            "禁句を使う。" * (k % 3) + f"{c}" + "禁 句" * (d % 2) + "。",
+            f"これは{slop[e]}る。" + ("`" + slop[d % 7] + "`と" if k % 2 else slop[d % 7]) + "。",
+        ]
+        out.append((f"g{k:02}", "\n\n".join(x for x in parts if x)))
+        out.append((f"l{k:02}", (KANA * 2)[: 30 + k] + " ".join((("alpha", "beta", "HTTP", "gamma", "v2", "gamma_x", "delta", "iv", "epsilon", "eta") * 2)[: (k + 3 * d) % 17]) + "。\n\n- " + KANA[:15] + " zeta" * (k % 3) + "\n\n- " + KANA[: 10 + d]))
+        out.append((f"r{k:02}", "".join(f"文{KANA[j % len(KANA)]}は{'長' * (1 + (j * (1 + e)) % (2 + 3 * (k % 5)))}く書く。\n" for j in range(26 + k % 9))))
+        out.append((f"p{k:02}", "\n\n".join("短い文だ。" * (1 + (k + j * (1 + k % 3)) % (1 + d)) + "終わる文だ。" for j in range(4 + k % 5))))
+        plain = [f"普通の文{'を長々と' * (j % 4)}{KANA[j % len(KANA)]}に書く。" for j in range(28 + d)]
+        rhetoric = [f"これは{KANA[j]}ではなく{'——' if j < 2 + k % 6 else ''}別の物である。" for j in range((k + d) % 9)]
+        out.append((f"s{k:02}", "\n".join([*plain, *rhetoric, *(f"## 見出し{j}{' — 説明' if j < e else ''}" for j in range(k % 8))]) + "\n"))
+        said = [f"{'「' if (j + k) % 4 == 0 else ''}{images[(j + d) % 6]}{'」' if (j + k) % 4 == 0 else ''}を見る。" for j in range(k % 6)]
+        out.append((f"m{k:02}", "\n".join([*plain, *said]) + "\n"))
+    return out
+
+
+DOCUMENTS += graded()
+
 #: Morphemes of lines, as a tokenizer would give them: surface, part of speech in three parts, whether it has a reading as a suffix.
 MORPHEMES: list[tuple[str, int, list[tuple[str, str, str, str, bool]]]] = [
     ("m1", 1, [("家", "名詞", "普通名詞", "一般", True), ("造語", "名詞", "普通名詞", "サ変可能", False), ("を", "助詞", "格助詞", "*", False)]),

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from prosegrain.config import DENIED, UNITS
-from prosegrain.operators import rules
-from prosegrain.operators.scopes import BULLET
 from prosegrain.plans.fixtures import DOCUMENTS
 
+#: Fixed values, written out once more, so that a wrong one in the rules shows.
+BULLET = r"(?:[-*+][ \t]|・|[0-9０-９]+[.．)])"
+BLOCK = rf"^[ \t]*(?:{BULLET}|```|>|\|)"
+INFLECTIONS = "する|します|した|して|している|していた|しています|しており|される|された|されて|されない|されました|できる|できた|できない|しない|しなかった|せず|しよう|すれば|すべき|しろ|せよ|させる|させます|させた|させて|させている|させたい|させない|させず|させよう|したい|したく|したければ"
+CALQUE = f"(?:^|[^A-Za-z])([a-z][a-zA-Z-]+) *({INFLECTIONS})"
+COLON = "[ぁ-ん][:：]$"
+CONNECTOR = "^(?:また|さらに|そして|加えて|一方|なお|ただし|つまり|次に|まず)、"
+COUNTER = "([0-9]-)?([0-9]+) ([A-Za-z][A-Za-z_-]*) ?[をがはでにとへの。、！？]"
+DEMONSTRATIVE = "これ|それ|あれ|この|その|あの|ここ|そこ"
+DOUBLE_NEGATIVE = "なくはな|なくもな|ないことはな|ないとは[言い]えな|ないわけではな"
+HEDGE = "と思われ|と考えられ|かもしれ|のではないか|ではないだろうか|気がする|感じがする|ように思|ように見え|とみられ"
+PLAIN = "[ぁ-ん][。！？]$"
+POLITE = "(?:です|ます|ません|でした|ました|ましょう|でしょう|ください)[。！？]$"
+TEMPLATE = r"^[ \t]*[-*+][ \t]\*\*[^*]+\*\*[:：]"
+TERMINATED = r"""[。？！」』）)"']$"""
+DENIED = "可能性を解き放 架け橋とな 世界へようこそ いかがでした ゲームチェンジャー 魔法のよう 潜在能力を引き出 スーパーチャージ 業界を再定義 フロンティアを開拓 根本的に変革 驚嘆させ 未来を変える 新たな基準を設定".split()
+UNITS = "ms s sec min h kg g mg km cm mm nm pt px dB Hz kHz MHz GHz bit bits byte bytes JA".split()
+
 W = r"[\s\x{3000}]"
 JA = r"[\p{Hiragana}\p{Katakana}\p{Han}]"
 ASIDE = r"`[^`]*`|https?://[^\s\x{3000}]+|§[\p{Han}\p{Katakana}\p{Hiragana}0-9A-Za-z.\-]+|R\d{4}_\d+|IF-\d"
@@ -90,11 +105,11 @@ LATIN = f""", p as (select file, line, list_transform(regexp_extract_all(s, '[^\
   then '。' else regexp_replace(t, '[a-z]+[A-Z-][A-Za-z-]*|[A-Z][A-Za-z-]*', '。', 'g') end) as ts from cl),
 m as (select file, line, unnest(regexp_extract_all(array_to_string(ts, ''), '[a-z]{{2,}}(?:[ \\x{{3000}}]+[a-z]{{2,}})*')) as g from p)
 {row("len(string_split(regexp_replace(g, '[ 　]+', ' ', 'g'), ' '))", "regexp_replace(g, '[ 　]+', ' ', 'g')")} from m"""
-STYLE = f""", st as (select *, regexp_matches(t, {raw(rules.POLITE)}) as po, regexp_matches(t, {raw(rules.PLAIN)}) as pl from se),
+STYLE = f""", st as (select *, regexp_matches(t, {raw(POLITE)}) as po, regexp_matches(t, {raw(PLAIN)}) as pl from se),
 n as (select file, count(*) filter (po) as a, count(*) filter (pl and not po) as b from st group by file having count(*) filter (po) > 0 and count(*) filter (pl and not po) > 0),
 f as (select st.file, line, least(a, b) as n, case when a <= b then 'polite' else 'plain' end as style, min(seq) as k from st join n on st.file = n.file where case when a <= b then po else pl and not po end group by all),
 r as (select *, row_number() over (partition by file order by k) as i from f) {row("n", "style")} from r where i <= 5"""
-OPENER = f"select file, seq as k, line, length(o) >= 2 and not regexp_matches(t, {raw(rules.CONNECTOR)}) and not regexp_matches(t, '^[-*+・#]') as f, o as key from (select *, substring(regexp_extract(t, '^[^、。！？]*'), 1, 6) as o from se)"
+OPENER = f"select file, seq as k, line, length(o) >= 2 and not regexp_matches(t, {raw(CONNECTOR)}) and not regexp_matches(t, '^[-*+・#]') as f, o as key from (select *, substring(regexp_extract(t, '^[^、。！？]*'), 1, 6) as o from se)"
 NEAR = f""", u as (select file, seq, line, regexp_replace(t, '{W}+', '', 'g') as x from un where length(t) >= 40),
 b0 as (select file, seq, line, x, unnest(range(1, length(x))) as i from u), bg as (select file, seq, substring(x, i, 2) as g, count(*) as n from b0 group by all),
 nm as (select file, seq, cast(sum(n * n) as double) as norm from bg group by all),
@@ -103,7 +118,7 @@ select dt.file, cast(ub.line as int) as line, round(cast(dot as double) / sqrt(n
 join u ua on ua.file = dt.file and ua.seq = a join u ub on ub.file = dt.file and ub.seq = b where 400.0::double * dot * dot >= 169.0::double * na.norm * nb.norm"""
 UNENDED = f""", q0 as (select file, line, is_bullet, case when is_bullet then string_split(t, {NL}) else [t] end as ps from un), q1 as (select file, line + generate_subscripts(ps, 1) - 1 as line, unnest(ps) as p from q0),
 q as (select file, line, regexp_replace(regexp_replace(p, '^{W}+', ''), '{W}+$', '') as s from q1), e as (select *, regexp_replace(s, '[*_` \t]+$', '') as x from q)
-{row("length(s)", "right(s, 20)")} from e where length(s) >= 8 and x <> '' and not regexp_matches(x, {raw(rules.TERMINATED)})"""
+{row("length(s)", "right(s, 20)")} from e where length(s) >= 8 and x <> '' and not regexp_matches(x, {raw(TERMINATED)})"""
 RHYTHM = f""", ml as (select file, generate_subscripts(l, 1) as line, unnest(l) as s from (select file, string_split(text, {NL}) as l from src)), mm as (select distinct file, line from ml where regexp_matches(s, {raw(f'^{W}*(?:>|{BULLET})')})),
 a as (select se.* from se anti join mm on se.file = mm.file and se.line = mm.line where regexp_matches(t, '[。！？]$')),
 sa as (select file, count(*) as n, avg(length(t)) as mu, stddev_pop(length(t)) as sd from a group by file),
@@ -151,7 +166,7 @@ CHAIN = f""", ch as (select file, line, regexp_extract(replace(regexp_replace(t,
 NAKATEN = f""", m as (select file, line, unnest(list_concat(regexp_extract_all(s, '（([^（）]*)）', 1), regexp_extract_all(s, '\\(([^()]*)\\)', 1))) as g from cl), c as (select *, len(list_filter(string_split(g, '・'), lambda x: regexp_replace(x, '{W}+', '', 'g') <> '')) as n from m)
 {row("n", "g")} from c where n >= 3"""
 COLON = f""", nb as (select file, line, s from ln where regexp_replace(s, '{W}+', '', 'g') <> ''), nx as (select *, lead(s) over (partition by file order by line) as nxt from nb)
-{row()} from nx where regexp_matches(regexp_replace(s, '{W}+$', ''), {raw(rules.COLON)}) and regexp_matches(nxt, {raw(rules.BLOCK)})"""
+{row()} from nx where regexp_matches(regexp_replace(s, '{W}+$', ''), {raw(COLON)}) and regexp_matches(nxt, {raw(BLOCK)})"""
 FIX = f""", fl as (select file, generate_subscripts(l, 1) as line, unnest(l) as s from (select file, string_split(text, {NL}) as l from src)), fm as (select *, starts_with(regexp_replace(s, '^{W}+', ''), '```') as m from fl),
 fc as (select *, sum(m::int) over (partition by file order by line) as c from fm),
 fx as (select file, line, s, case when m or c % 2 = 1 then s else array_to_string(list_transform(string_split(s, '`'), lambda x, i: case when i % 2 = 1 then replace(x, 'することができ', 'でき') else x end), '`') end as t from fc)
@@ -161,7 +176,7 @@ mk1 as (select file, line, list_filter(regexp_split_to_array(trim(regexp_replace
 mk2 as (select file, line, unnest(case when len(names) > 0 then names else [null] end) as name from mk1), sp as (select file, line, name from mk2 union select file, line + 1, name from mk2),
 x as (select file, line, regexp_extract(t, '[！!]') as w from se where regexp_matches(t, '[！!]'))
 {row(word='w')} from x anti join sp on sp.file = x.file and sp.line = x.line and (sp.name is null or sp.name in ('readability', 'exclamation'))"""
-COUNTED = f"{each('cl', rules.COUNTER, (1, 2, 3))} {row('g1', 'g2')} from m where coalesce(g0, '') = '' and g2 not in ({', '.join(map(raw, UNITS))})"
+COUNTED = f"{each('cl', COUNTER, (1, 2, 3))} {row('g1', 'g2')} from m where coalesce(g0, '') = '' and g2 not in ({', '.join(map(raw, UNITS))})"
 
 
 def queries(stems: list[str], terms: tuple[str, ...], own: str) -> dict[str, str]:
@@ -171,22 +186,22 @@ def queries(stems: list[str], terms: tuple[str, ...], own: str) -> dict[str, str
         "units": "select file, cast(line as int) as line, cast(seq as int) as seq, t as text, is_bullet from un",
         "sentence_length": f"{row('length(t)')} from se where length(t) > 100",
         "max_ten": f"""{row("length(t) - length(replace(t, '、', ''))")} from se where length(t) - length(replace(t, '、', '')) > 4""",
-        "double_negative": first(rules.DOUBLE_NEGATIVE),
-        "hedge_pileup": count_all(rules.HEDGE, 2),
-        "demonstrative_chain": count_all(rules.DEMONSTRATIVE, 3),
+        "double_negative": first(DOUBLE_NEGATIVE),
+        "hedge_pileup": count_all(HEDGE, 2),
+        "demonstrative_chain": count_all(DEMONSTRATIVE, 3),
         "no_chain": CHAIN,
         "verbose_potential": first("することが(?:でき|可能)"),
         "kanji_run": first(r"[\p{IsHan}々]{7,}"),
         "exclamation": first("[！!]"),
         "style_mixing": STYLE,
-        "bullet_template": runs(f"select file, line as k, line, regexp_matches(s, {raw(rules.TEMPLATE)}) as f, '' as key from ln") + f" {row('n')} from ru",
+        "bullet_template": runs(f"select file, line as k, line, regexp_matches(s, {raw(TEMPLATE)}) as f, '' as key from ln") + f" {row('n')} from ru",
         "colon_continuation": COLON,
-        "connector_pileup": runs(f"select file, seq as k, line, regexp_matches(t, {raw(rules.CONNECTOR)}) as f, '' as key from se") + f" {row('n')} from ru",
+        "connector_pileup": runs(f"select file, seq as k, line, regexp_matches(t, {raw(CONNECTOR)}) as f, '' as key from se") + f" {row('n')} from ru",
         "opener_repetition": runs(OPENER) + f" {row('n', 'key')} from ru",
         "latin_density": DENSITY + " and len(toks) * 100.0 / ja >= 8.0",
         "latin_density_all_units": DENSITY,
         "latin_token_runs": LATIN,
-        "verb_calque": f"{each('bare', rules.CALQUE, (1, 2))} {row(word='g0 || g1')} from m",
+        "verb_calque": f"{each('bare', CALQUE, (1, 2))} {row(word='g0 || g1')} from m",
         "near_duplicate": NEAR,
         "rhythm_stats": RHYTHM,
         "stylometric_indicators": STYLO,
