@@ -8,6 +8,7 @@ from pathlib import Path
 
 FILE_NAME = "prosegrain.toml"
 REGISTERS = ("internal", "practice", "consume")
+#: The phrases and units that the rules are defined by.
 DENIED = "可能性を解き放 架け橋とな 世界へようこそ いかがでした ゲームチェンジャー 魔法のよう 潜在能力を引き出 スーパーチャージ 業界を再定義 フロンティアを開拓 根本的に変革 驚嘆させ 未来を変える 新たな基準を設定".split()
 UNITS = "ms s sec min h kg g mg km cm mm nm pt px dB Hz kHz MHz GHz bit bits byte bytes JA".split()
 
@@ -29,6 +30,8 @@ class Config:
     jargon: tuple[str, ...] = ()
     ignore_marker: str = "prose-ignore"
     coinage_corpus: str = ""
+    coinage_allow: tuple[str, ...] = ()
+    coinage_tokenizer: str = ""
 
     def __post_init__(self):
         if self.register == "external":
@@ -45,7 +48,7 @@ class Config:
 #: Where a key of the file goes; lists of files are read by their loaders.
 KEYS = {
     "allow": "allow", "deny": "deny", "register": "register", "codemix.threshold": "codemix_threshold", "readability.max-sentence": "max_sentence", "readability.max-ten": "max_ten",
-    "counter.unit-words": "unit_words", "deny-vocabulary": "", "codemix.allow-vocabulary": "", "codemix.katakana-lexicon": "", "rhetoric.metaphor-lexicon": "", "jargon.vocabulary": "", "coinage.corpus": "",
+    "counter.unit-words": "unit_words", "deny-vocabulary": "", "codemix.allow-vocabulary": "", "codemix.katakana-lexicon": "", "rhetoric.metaphor-lexicon": "", "jargon.vocabulary": "", "coinage.corpus": "", "coinage.tokenizer": "coinage_tokenizer",
 }
 
 
@@ -58,8 +61,12 @@ def flat(tree: dict, prefix: str = "") -> dict:
     return {k: v for key, value in tree.items() for k, v in (flat(value, f"{prefix}{key}.").items() if isinstance(value, dict) and f"{prefix}{key}" != "deny" else [(f"{prefix}{key}", value)])}
 
 
-def load(path: Path | None, **more) -> Config:
-    """The settings of a file (unknown keys are errors), overridden by more."""
+def load(path: Path | None, registries: tuple[Path, ...] = (), **more) -> Config:
+    """The settings of a file (unknown keys are errors), overridden by more.
+
+    registries allow what they list: the latin words of a markdown registry's rows count as no English, and its first cells, or
+    the lines of another file, as no coinages.
+    """
     from prosegrain.sources import lexicons
 
     found = flat(tomllib.loads(path.read_text())) if path else {}
@@ -74,6 +81,10 @@ def load(path: Path | None, **more) -> Config:
         got[name] = tuple(p for f in files(key) or [lexicons.SHIPPED / shipped] for p in lexicons.pairs(f))
     got["jargon"] = tuple(dict.fromkeys(w for f in files("jargon.vocabulary") for w in lexicons.registry_heads(f.read_text())))
     got["coinage_corpus"] = str(base / Path(found["coinage.corpus"]).expanduser()) if found.get("coinage.corpus") else ""
+    texts = [(f.suffix == ".md", f.read_text()) for f in map(Path, registries)]
+    words = {w for _, t in texts for w in lexicons.registry_words(t)}
+    got["allow_vocabulary"] = tuple(sorted({*got["allow_vocabulary"], *words}))
+    got["coinage_allow"] = tuple(sorted({w for md, t in texts for w in (lexicons.registry_cells(t) if md else lexicons.plain_words(t))}))
     config = replace(Config(), **got)
     names = {f.name for f in fields(Config)}
     return replace(config, **{k: v for k, v in more.items() if k in names and v is not None})

@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prosegrain.functions.ship import ship
+
 
 def kind_of(file: Column) -> Column:
     end = F.lower(F.substring_index(file, ".", -1))
     return F.when(end.isin("html", "htm"), "html").when(end == "md", "md").otherwise("txt")
 
 
+def named(uri: Column) -> Column:
+    """The name that a person knows: no percent signs for what a URI cannot hold, and no scheme for local files."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+
+
 def _whole(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     read = spark.read.options(ignoreMissingFiles="true", **options).text(paths, wholetext=True)
-    return read.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).select("file", kind_of(F.col("file")).alias("kind"), "raw")
+    return read.select(named(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("raw")).select("file", kind_of(F.col("file")).alias("kind"), "raw")
 
 
 def from_folder(spark: SparkSession, path: str, ignored: list[str] | None = None) -> DataFrame:
-    """Markdown files of a folder and those below it, without hidden ones and those under an ignored name."""
+    """Markdown files of a folder and those below it, without hidden ones and those under an ignored name. A folder may be of any file system;
+    names that begin with an underscore are Spark's own and are left out. from_files(markdown_files(...)) has neither limit."""
     found = _whole(spark, [path], recursiveFileLookup="true", pathGlobFilter="*.md")
     below = F.regexp_replace("file", "^[a-z0-9]+:/*", "/")
     for name in ignored or []:
@@ -26,8 +39,19 @@ def from_folder(spark: SparkSession, path: str, ignored: list[str] | None = None
 
 
 def from_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of any kind; missing ones are left out."""
-    return _whole(spark, paths)
+    """Local files of any kind and name, under the names given; executors read them, so they must be where executors can. Missing ones are left
+    out, and bytes that are no UTF-8 are replaced."""
+    ship(spark)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f, Path(f).read_text(encoding="utf-8", errors="replace")) for f in batch.column(0).to_pylist() if Path(f).is_file()]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], names=["path", "raw"])
+
+    base = os.getcwd()
+    names = spark.createDataFrame([(os.path.join(base, p), p) for p in paths], "path string, file string")
+    files = names.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)), "path").select("path").mapInArrow(read, "path string, raw string")
+    return files.join(names, "path").select("file", kind_of(F.col("file")).alias("kind"), "raw")
 
 
 def from_table(table: DataFrame, file: str, raw: str, kind: str = "txt") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from prosegrain.config import Config
-from prosegrain.plans.check import check
+from prosegrain.operators import report
+from prosegrain.operators.scopes import scopes
+from prosegrain.plans.check import documents, findings_of
 
 
 def check_stream(docs: DataFrame, config: Config, out: str, checkpoint: str) -> StreamingQuery:
@@ -16,10 +19,12 @@ def check_stream(docs: DataFrame, config: Config, out: str, checkpoint: str) ->
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
+        texts = documents(batch)
+        scoped = scopes(texts).persist(StorageLevel.DISK_ONLY)  # made once for all rules
         try:
-            check(kept, config, keep=False).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            found = report.unsuppressed(findings_of(scoped, config), report.suppressions(texts, config.ignore_marker))
+            found.write.mode("overwrite").parquet(f"{out}/batch={number}")
         finally:
-            kept.unpersist()
+            scoped.unpersist()
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """The whole check, its reports, settings, sources, streams and the command line."""
 
 import json
+import os
 
 import pytest
 
@@ -12,6 +13,7 @@ from prosegrain.plans import catalog
 from prosegrain.plans.check import check
 from prosegrain.plans.fixtures import DOCUMENTS, MORPHEMES
 from prosegrain.sources import documents, lexicons
+from prosegrain.sources.folders import markdown_files
 from prosegrain.streaming.checks import check_stream
 
 DOCS = "file string, kind string, raw string"
@@ -137,3 +139,53 @@ def test_summary_takes_the_documents_of_the_table(spark, tmp_path):
     n = {r["rule"]: r["n"] for r in catalog.findings_summary(spark, str(tmp_path)).collect()}
     hits = catalog.suppressed_exclamation(spark, str(tmp_path)).cache()
     assert n["exclamation"] == hits.count() > hits.where("file rlike '^f'").count()
+
+
+def test_coinages_on_the_command_line(spark, tmp_path, monkeypatch, capsys):
+    """A tokenizer from the settings, registries, a diff, and what is wrong without one."""
+    import io
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "a.md").write_text("機械床\n判定床\n物理層\n測定計測\n")
+    assert main(["coinage", "a.md"]) == 2 and "tokenizer" in capsys.readouterr().err
+    (tmp_path / "halving.py").write_text("from prosegrain.operators.coinage import Morpheme\n\ndef halves(s):\n    return [Morpheme(x, '名詞', '普通名詞', '一般') for x in (s[:2], s[2:])]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / settings.FILE_NAME).write_text('[coinage]\ntokenizer = "halving:halves"\n')
+    (tmp_path / "known.md").write_text("| `判定床` | a term |\n")
+    (tmp_path / "known.txt").write_text("# words\n物理層\n")
+    assert main(["coinage", "a.md", "--strict", "--allow", "known.md", "--allow", "known.txt"]) == 1
+    out = capsys.readouterr().out
+    assert "a.md:1:" in out and "機械床" in out and all(x not in out for x in ("判定床", "物理層", "測定計測"))
+    assert main(["coinage", "a.md", "--advisory"]) == 0 and "測定計測" in capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", io.StringIO("+++ b/x.md\n@@ -0,0 +7 @@\n+機械床\n"))
+    assert main(["coinage", "--diff", "--strict"]) == 1 and "x.md:7:" in capsys.readouterr().out
+    assert main(["check", "a.md"]) == 0 and "dictionary-coinage" in capsys.readouterr().out
+    (tmp_path / settings.FILE_NAME).write_text('[coinage]\ntokenizer = "nothing:here"\n')
+    assert main(["check", "a.md"]) == 2
+
+
+def test_registries_allow_latin_words(spark, tmp_path):
+    (tmp_path / "r.md").write_text("| `latency` | how long |\n")
+    docs = spark.createDataFrame([("f", "md", "結果は latency で評価し、 query plan を見る。")], DOCS)
+    word = lambda c: {r["message"].split()[-1] for r in check(docs, c, {"codemix"}, keep=False).where("rule = 'latin-token'").collect()}
+    assert len(word(settings.load(None, (tmp_path / "r.md",), register="consume"))) < len(word(settings.load(None, register="consume")))
+
+
+def test_folders_keep_ignore_files_and_real_names(spark, tmp_path, monkeypatch, capsys):
+    for name in ("_draft.md", "日 本+%41.md", "a.txt", ".hidden.md", "build/x.md", "sub/keep.md", "sub/skip.md", "sub/deep/note.md", "sub/deep/tmp1.md", "only/file.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("止まれ！")
+    (tmp_path / ".gitignore").write_text("# c\nbuild/\n/sub/skip.md\n**/tmp?.md\n*.md\n!*.md\ntmp[0-9].md\nsub/skip.md\n")
+    (tmp_path / "only/.ignore").write_text("*\n")
+    names = sorted(["_draft.md", "日 本+%41.md", "sub/keep.md", "sub/deep/note.md"])
+    assert [os.path.relpath(f, tmp_path) for f in markdown_files(str(tmp_path))] == names
+    monkeypatch.chdir(tmp_path)
+    assert main(["check"]) == 0
+    out = capsys.readouterr().out
+    assert all(f"{n}:1: [readability/exclamation" in out for n in names) and "skip" not in out
+    assert sorted(r["file"].removeprefix(f"{tmp_path}/") for r in documents.from_folder(spark, str(tmp_path / "sub")).collect()) == ["sub/deep/note.md", "sub/deep/tmp1.md", "sub/keep.md", "sub/skip.md"]
+    (tmp_path / "empty").mkdir()
+    assert main(["check", "empty"]) == 2 and main(["check", "gone.md"]) == 2 and "gone.md" in capsys.readouterr().err
+    (tmp_path / "held").mkdir()
+    (tmp_path / "held/mine").write_text("x")
+    assert main(["fix", "sub/keep.md", "--out", "held"]) == 2 and (tmp_path / "held/mine").read_text() == "x"
