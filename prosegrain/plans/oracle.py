@@ -15,7 +15,7 @@ COUNTER = "([0-9]-)?([0-9]+) ([A-Za-z][A-Za-z_-]*) ?[をがはでにとへの。
 DEMONSTRATIVE = "これ|それ|あれ|この|その|あの|ここ|そこ"
 DOUBLE_NEGATIVE = "なくはな|なくもな|ないことはな|ないとは[言い]えな|ないわけではな"
 HEDGE = "と思われ|と考えられ|かもしれ|のではないか|ではないだろうか|気がする|感じがする|ように思|ように見え|とみられ"
-PLAIN = "[ぁ-ん][。！？]$"
+PLAIN_STYLE = "[ぁ-ん][。！？]$"
 POLITE = "(?:です|ます|ません|でした|ました|ましょう|でしょう|ください)[。！？]$"
 TEMPLATE = r"^[ \t]*[-*+][ \t]\*\*[^*]+\*\*[:：]"
 TERMINATED = r"""[。？！」』）)"']$"""
@@ -105,7 +105,7 @@ LATIN = f""", p as (select file, line, list_transform(regexp_extract_all(s, '[^\
   then '。' else regexp_replace(t, '[a-z]+[A-Z-][A-Za-z-]*|[A-Z][A-Za-z-]*', '。', 'g') end) as ts from cl),
 m as (select file, line, unnest(regexp_extract_all(array_to_string(ts, ''), '[a-z]{{2,}}(?:[ \\x{{3000}}]+[a-z]{{2,}})*')) as g from p)
 {row("len(string_split(regexp_replace(g, '[ 　]+', ' ', 'g'), ' '))", "regexp_replace(g, '[ 　]+', ' ', 'g')")} from m"""
-STYLE = f""", st as (select *, regexp_matches(t, {raw(POLITE)}) as po, regexp_matches(t, {raw(PLAIN)}) as pl from se),
+STYLE = f""", st as (select *, regexp_matches(t, {raw(POLITE)}) as po, regexp_matches(t, {raw(PLAIN_STYLE)}) as pl from se),
 n as (select file, count(*) filter (po) as a, count(*) filter (pl and not po) as b from st group by file having count(*) filter (po) > 0 and count(*) filter (pl and not po) > 0),
 f as (select st.file, line, least(a, b) as n, case when a <= b then 'polite' else 'plain' end as style, min(seq) as k from st join n on st.file = n.file where case when a <= b then po else pl and not po end group by all),
 r as (select *, row_number() over (partition by file order by k) as i from f) {row("n", "style")} from r where i <= 5"""
