@@ -1,7 +1,7 @@
 """The prose rules. Each takes documents with scopes and settings, and returns file, line, seq, value, word.
 
 value is the measure that the rule compares, word what it found. Rules that look at runs or at a whole document work inside the
-document's row; only `near_duplicate` compares rows, and shuffles them by document and pair of tiles.
+document's row; only `near_duplicate` shuffles the units of very long documents, by document and pair of tiles.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 from prosegrain.config import UNITS, Config
 from prosegrain.functions.text import JA, bound, fenced, first_match, ltrim, matches, rtrim, text, times, trim
 from prosegrain.operators.scopes import BULLET, exploded
-from prosegrain.operators.similar import close_pairs
+from prosegrain.operators.similar import TILE, close_pairs, unit_pairs
 
 #: The words, endings and forms that the rules are defined by.
+COSINE = Fraction(13, 20)
 CONNECTOR = "^(?:また|さらに|そして|加えて|一方|なお|ただし|つまり|次に|まず)、"
 HEDGE = "と思われ|と考えられ|かもしれ|のではないか|ではないだろうか|気がする|感じがする|ように思|ように見え|とみられ"
 DOUBLE_NEGATIVE = "なくはな|なくもな|ないことはな|ないとは[言い]えな|ないわけではな"
@@ -277,30 +278,28 @@ def low_information_density(d: DataFrame, c: Config) -> DataFrame:
     return bits_per_char(d, c).where("value < 11.0")
 
 
+def _long_units() -> Column:
+    """seq, line, t of the units of 40 characters or more, without their white space."""
+    us = F.transform("units", lambda u, i: F.struct((i + 1).cast("int").alias("seq"), u["line"].cast("int").alias("line"), F.when(F.length(u["text"]) >= 40, F.regexp_replace(u["text"], r"(?U)\s+", "")).alias("t")))
+    return F.filter(us, lambda u: u["t"].isNotNull())
+
+
 def near_units(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of a document's different unit texts with a cosine of 0.65 or more (file, a, b, cosine), and the units that have each text
     (file, id, seq, line): as much as near_duplicate() says, without a row for each two of many equal units."""
-    u = exploded(d, "units").where(F.length("text") >= 40).select("file", "seq", "line", F.regexp_replace("text", r"(?U)\s+", "").alias("t"))
+    u = d.select("file", F.explode(_long_units()).alias("u")).select("file", "u.*")
     own = u.groupBy("file", "t").agg(F.min("seq").alias("id"))
-    return close_pairs(own, Fraction(13, 20)), u.join(own, ["file", "t"]).select("file", "id", "seq", "line")
+    return close_pairs(own, COSINE), u.join(own, ["file", "t"]).select("file", "id", "seq", "line")
 
 
-def near_duplicate(d: DataFrame, c: Config) -> DataFrame:
+def near_duplicate(d: DataFrame, c: Config, tile: int = TILE) -> DataFrame:
     """Pairs of a document's units whose pairs of letters have a cosine of 0.65 or more, at the later one's line; word is the earlier one's line.
 
-    Units that agree without white space are compared once, and their pairs made afterwards. The rule asks for all pairs; near_units() has
-    pairs of different texts and who has them instead.
+    A document of up to `tile` units stays in its row; a longer one is dealt out by runs of units. The rule asks for all pairs;
+    near_units() has pairs of different texts and who has them.
     """
-    u = exploded(d, "units").where(F.length("text") >= 40).select("file", "seq", "line", F.regexp_replace("text", r"(?U)\s+", "").alias("t"))
-    own = u.groupBy("file", "t").agg(F.min("seq").alias("id"))
-    apart = close_pairs(own, Fraction(13, 20))
-    close = apart.unionByName(own.select("file", F.col("id").cast("long").alias("a"), F.col("id").cast("long").alias("b"), F.lit(1.0).alias("cosine")))
-    members = u.join(own, ["file", "t"]).select("file", "id", "seq", "line")
-    ma, mb = (members.select("file", F.col("id").alias(x), F.col("seq").alias(f"seq_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab")
-    pairs = close.join(ma, ["file", "a"]).join(mb, ["file", "b"]).where("a <> b or seq_a < seq_b")
-    first = F.least(F.struct("seq_a", "line_a"), F.struct(F.col("seq_b").alias("seq_a"), F.col("line_b").alias("line_a")))
-    last = F.greatest(F.struct("seq_a", "line_a"), F.struct(F.col("seq_b").alias("seq_a"), F.col("line_b").alias("line_a")))
-    return rows(pairs.select("file", "cosine", first.alias("f"), last.alias("l")).select("file", F.col("l.seq_a").alias("seq"), F.col("l.line_a").alias("line"), "cosine", F.col("f.line_a").alias("other")), F.col("cosine"), F.col("other"))
+    found = unit_pairs(d.select("file", _long_units().alias("us")), COSINE, tile)
+    return rows(found, F.col("cosine"), F.col("other"))
 
 
 # documents

@@ -1,11 +1,13 @@
 """Cosines of a document's units by their pairs of letters.
 
 Nearly all units of a document share some pair of letters, so a join on pairs meets every two units many times over. Here
-units meet once: in tiles of a bounded number of units, two tiles of a document at a time, by products of count matrices.
+units meet once, by products of count matrices: those of one document within its row, without a shuffle, and those of a
+document of more than TILE units in runs of that many, two at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosegrain.functions.ship import ship
+from prosegrain.functions.text import fenced
 
 #: Units of a tile, and columns of a product: what a task holds at once.
 TILE, COLUMNS = 1024, 1024
@@ -76,3 +79,43 @@ def close_pairs(units: DataFrame, least: Fraction, tile: int = TILE) -> DataFram
         return pa.table({"file": pa.array([group.column("file")[0].as_py()] * len(p), pa.string()), "a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q]), "cosine": cosine})
 
     return dealt.groupBy("file", "lo", "hi").applyInArrow(run, "file string, a bigint, b bigint, cosine double")
+
+
+def unit_pairs(docs: DataFrame, least: Fraction, tile: int = TILE) -> DataFrame:
+    """file, seq, line, cosine, other of the pairs of units of docs (file, us: seq, line, t, in order), at the later one's place.
+
+    A document of up to `tile` units is looked at in its row. The units of a longer one are cut into runs of that many, and every two
+    runs are a row of their own, dealt out to all tasks.
+    """
+    ship(docs.sparkSession)
+    names = ["file", "seq", "line", "cosine", "other"]
+
+    def pairs_of(one: list[dict], two: list[dict] | None) -> tuple[np.ndarray, ...]:
+        own: dict[str, int] = {}
+        a = np.array([own.setdefault(u["t"], len(own)) for u in one])
+        b = a if two is None else np.array([own.setdefault(u["t"], len(own)) for u in two])
+        left, right = np.unique(a), np.unique(b)
+        dots, norm = products(list(own), left, right)
+        ok = near(dots, norm[left], norm[right], least)
+        p, q = np.searchsorted(left, a), np.searchsorted(right, b)
+        i, j = np.nonzero(np.triu(ok[p][:, q], 1) if two is None else ok[p][:, q])
+        cosine = np.where(a[i] == b[j], 1.0, dots[p[i], q[j]] / np.sqrt(norm[a[i]] * norm[b[j]]))
+        later = one if two is None else two
+        return np.array([u["seq"] for u in later])[j], np.array([u["line"] for u in later])[j], cosine, np.array([u["line"] for u in one])[i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, one, two in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                seq, line, cosine, other = pairs_of(one, two)
+                if len(seq):
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(seq), pa.string()), pa.array(seq, pa.int32()), pa.array(line, pa.int32()), pa.array(cosine), pa.array(other, pa.int32())], names=names)
+
+    runs = F.ceil(F.size("us") / tile).cast("int")
+    us = docs.withColumn("us", fenced(F.col("us")))
+    short = us.where((F.size("us") > 1) & (F.size("us") <= tile)).select("file", "us", F.lit(None).cast(docs.schema["us"].dataType).alias("more"))
+    long = us.where(F.size("us") > tile).select("file", "us", runs.alias("runs"), F.explode(F.sequence(F.lit(0), runs - 1)).alias("lo"))
+    long = long.select("file", "us", "lo", F.explode(F.sequence("lo", F.col("runs") - 1)).alias("hi"))
+    cut = lambda k: F.slice("us", k * tile + 1, F.lit(tile))
+    long = long.select("file", cut(F.col("lo")).alias("us"), F.when(F.col("hi") > F.col("lo"), cut(F.col("hi"))).alias("more"), "lo", "hi").repartition("file", "lo", "hi").drop("lo", "hi")
+    schema = "file string, seq int, line int, cosine double, other int"
+    return short.mapInArrow(run, schema).unionByName(long.mapInArrow(run, schema))

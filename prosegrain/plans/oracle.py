@@ -9,7 +9,7 @@ BULLET = r"(?:[-*+][ \t]|・|[0-9０-９]+[.．)])"
 BLOCK = rf"^[ \t]*(?:{BULLET}|```|>|\|)"
 INFLECTIONS = "する|します|した|して|している|していた|しています|しており|される|された|されて|されない|されました|できる|できた|できない|しない|しなかった|せず|しよう|すれば|すべき|しろ|せよ|させる|させます|させた|させて|させている|させたい|させない|させず|させよう|したい|したく|したければ"
 CALQUE = f"(?:^|[^A-Za-z])([a-z][a-zA-Z-]+) *({INFLECTIONS})"
-COLON = "[ぁ-ん][:：]$"
+COLON_END = "[ぁ-ん][:：]$"
 CONNECTOR = "^(?:また|さらに|そして|加えて|一方|なお|ただし|つまり|次に|まず)、"
 COUNTER = "([0-9]-)?([0-9]+) ([A-Za-z][A-Za-z_-]*) ?[をがはでにとへの。、！？]"
 DEMONSTRATIVE = "これ|それ|あれ|この|その|あの|ここ|そこ"
@@ -166,7 +166,7 @@ CHAIN = f""", ch as (select file, line, regexp_extract(replace(regexp_replace(t,
 NAKATEN = f""", m as (select file, line, unnest(list_concat(regexp_extract_all(s, '（([^（）]*)）', 1), regexp_extract_all(s, '\\(([^()]*)\\)', 1))) as g from cl), c as (select *, len(list_filter(string_split(g, '・'), lambda x: regexp_replace(x, '{W}+', '', 'g') <> '')) as n from m)
 {row("n", "g")} from c where n >= 3"""
 COLON = f""", nb as (select file, line, s from ln where regexp_replace(s, '{W}+', '', 'g') <> ''), nx as (select *, lead(s) over (partition by file order by line) as nxt from nb)
-{row()} from nx where regexp_matches(regexp_replace(s, '{W}+$', ''), {raw(COLON)}) and regexp_matches(nxt, {raw(BLOCK)})"""
+{row()} from nx where regexp_matches(regexp_replace(s, '{W}+$', ''), {raw(COLON_END)}) and regexp_matches(nxt, {raw(BLOCK)})"""
 FIX = f""", fl as (select file, generate_subscripts(l, 1) as line, unnest(l) as s from (select file, string_split(text, {NL}) as l from src)), fm as (select *, starts_with(regexp_replace(s, '^{W}+', ''), '```') as m from fl),
 fc as (select *, sum(m::int) over (partition by file order by line) as c from fm),
 fx as (select file, line, s, case when m or c % 2 = 1 then s else array_to_string(list_transform(string_split(s, '`'), lambda x, i: case when i % 2 = 1 then replace(x, 'することができ', 'でき') else x end), '`') end as t from fc)
