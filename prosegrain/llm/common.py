@@ -133,6 +133,8 @@ def rows_of(batch: pa.RecordBatch, keep: list[str], **more: pa.Array) -> pa.Reco
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + list(more.values()), names=[*keep, *more])
 
 
+#: Rows and MB of a batch in the stages of the pipeline, whose workers live on from stage to stage beside a full heap.
+SMALL = {"rows": 500, "mb": 4}
 Batches = Iterator[pa.RecordBatch]
 
 

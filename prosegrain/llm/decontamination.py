@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrain.llm.common import WORD, Batches, bound_batches, column, fresh_path, put, taken
+from prosegrain.llm.common import SMALL, WORD, Batches, bound_batches, column, fresh_path, put, taken
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 4, 5))
 WINDOW, AGREE, SHORTEST = 13, 10, 8
 #: Words of a block of the benchmark, about. A block's index takes about 100 bytes a word; documents are read once for each block.
 BLOCK_WORDS = 250_000
 #: Hits compared at once, and words of documents.
-HITS, WORDS_AT_ONCE = 1 << 14, 1 << 18
+HITS, WORDS_AT_ONCE = 1 << 14, 1 << 17
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 APART = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -191,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that overlap an item, in docs' columns. Cases as in contaminated()."""
     spark = docs.sparkSession
-    bound_batches(spark, rows=1000)
+    bound_batches(spark, **SMALL)
     for name in blocks(benchmark):
 
         def run(batches: Batches, name=name) -> Batches:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrain.llm.common import Batches, Maybe, bound_batches, column, components, cut, discard, rows_of
+from prosegrain.llm.common import SMALL, Batches, Maybe, bound_batches, column, components, cut, discard, rows_of
 
 SEED = 42
 #: Elements of a comparison in memory at once, and pairs of 512-bit fingerprints.
@@ -372,7 +372,7 @@ def possible(nodes: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: Fraction) -> DataFrame:
     """Those of pairs (a, b) whose sets of shingles have a similarity of `least` or more, as a written table. nodes: node, mark, key."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, **SMALL)
     want = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "mark", "key"), "wanted")
 
     def run(batches: Batches) -> Batches:
@@ -405,17 +405,17 @@ def linked(docs: DataFrame, nodes: DataFrame, words: int, least: Fraction) -> Da
     spark = docs.sparkSession
 
     def verified(pairs: DataFrame) -> DataFrame:
-        bound_batches(spark, rows=20_000)
+        bound_batches(spark, rows=20_000, mb=4)
         near = cut(possible(nodes, pairs, least), "possible")
         out = similar(docs, nodes, near, words, least)
         discard(pairs, near)
         return out
 
-    bound_batches(spark, rows=100_000)
+    bound_batches(spark, rows=50_000, mb=4)
     shared = cut(met(nodes), "shared")
     edges = verified(cut(neighbours(shared, least), "neighbours"))
     roots = cut(components(edges), "roots")
-    bound_batches(spark, rows=20_000)
+    bound_batches(spark, rows=20_000, mb=4)
     more = verified(cut(others(shared, roots, nodes, least), "others"))
     discard(shared)
     # the second links join what the first ones left: components of roots, through which the nodes go
@@ -436,6 +436,7 @@ def one_of_each(docs: DataFrame, words: int = 5, ratio: float = 0.8) -> DataFram
     Of rows that agree in doc_id and text one stays; a row without doc_id stays if nothing in its group has one. Null and empty
     texts are near-duplicates of each other; an empty table gives an empty result; other columns may have any names.
     """
+    bound_batches(docs.sparkSession, **SMALL)
     least = Fraction(str(ratio))
     sets = cut(shingle_sets(docs, words, least), "shingle-sets")
     # one node for each different set, with a number of its own

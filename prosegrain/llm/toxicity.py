@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosegrain.functions.ship import ship
-from prosegrain.llm.common import Batches, bound_batches, column, cut, rows_of
+from prosegrain.llm.common import SMALL, Batches, bound_batches, column, cut, rows_of
 from prosegrain.llm.labelled import held_out, sample
 
 FOLDS, FOLD = 4, 2
@@ -305,7 +305,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ro
     """docs without the rows that toxicity() predicts, in docs' columns, in one narrow pass."""
     lexicon, (a, b) = learn(docs, labels, rows)
     key = tuple(lexicon)
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, **SMALL)
 
     def run(batches: Batches) -> Batches:
         m = matcher(key)
