@@ -6,13 +6,14 @@ exclusive-or and bit counts; what lies beyond the radius by population count alo
 fingerprints share is dealt out as pairs of tiles, each a task's group of its own. Nothing within the radius is missed, and a
 group yields a spanning forest of its links, never all pairs; distributed connected components join the forests.
 
-one_of_each() of the pipeline needs a similarity of sets, which majority bits only estimate. Its fingerprints are parity bits, which
-differ in no more places than the sets in elements: the same exclusive-or and bit counts then miss nothing, and what they let
-through is compared set by set.
+one_of_each() of the pipeline needs a similarity of sets, which majority bits only estimate. Sets that are similar agree in whole parts, so
+only such sets meet. Its fingerprints are parity bits, which differ in no more places than the sets in elements: the same
+exclusive-or and bit counts then miss nothing, and what they let through is compared set by set.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
@@ -30,9 +31,7 @@ CELLS, STEP = 1 << 19, 1 << 16
 #: Rows of a tile; groups of more rows are dealt out as pairs of tiles.
 TILE = 1 << 14
 #: Orders in which the texts of a group meet their neighbours before all other pairs are looked at.
-ORDERS = tuple(range(1, 13))
-#: Texts of the sample that tells frequent shingles, texts of it that make one frequent, and how many are kept.
-SAMPLE, OFTEN, MOST = 20_000, 4, 200_000
+ORDERS = tuple(range(1, 7))
 
 
 def shingles(text: str | None, words: int) -> Iterable[bytes]:
@@ -206,23 +205,14 @@ def set_key(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes that several texts of a sample have, rarer ones first. They only order the shingles: any order finds every pair."""
-    every = max(1, docs.count() // SAMPLE)
+def parities(h: np.ndarray, bits: int = 512) -> bytes:
+    """So many bits, a power of two: whether an odd number of hashes begins with each nine bits (of 512). Those of two sets differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((h >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1).tobytes()
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            got = [distinct_shingles(x, words) for x in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *got]).view("<i8"))], names=["h"])
-
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
-    rows = sample.mapInArrow(run, "h bigint").groupBy("h").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "h").limit(MOST).collect()
-    return np.array([r["h"] for r in reversed(rows)], dtype="<i8").view("<u8")
 
-
-def parities(h: np.ndarray) -> bytes:
-    """512 bits: whether an odd number of hashes begins with each nine bits. Those of two sets differ in no more bits than the sets in elements."""
-    return np.packbits(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
+def wide_parities(h: np.ndarray) -> bytes:
+    """Parities of two bits or more for each hash, as 512 tell long sets apart no more."""
+    return parities(h, 1 << max(9, (2 * len(h) - 1).bit_length()))
 
 
 def needed(n: np.ndarray, share: Fraction) -> np.ndarray:
@@ -230,51 +220,106 @@ def needed(n: np.ndarray, share: Fraction) -> np.ndarray:
     return -(-share.numerator * n // share.denominator)
 
 
-def shingle_sets(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """doc_id, mark (hash of the text), key (of the set of shingles), d (its size), bits (parities), prefix (its first shingles in the common order)."""
-    order = frequent(docs, words)
-    by_hash = np.argsort(order)
-    shared = docs.sparkSession.sparkContext.broadcast((order[by_hash], by_hash + 1))
+def set_node(h: np.ndarray, salt: int) -> int:
+    """A signed number of the set, which only a clash of 64 bits gives to another one as well."""
+    return int(np.array(xxhash.xxh3_64_intdigest(h.tobytes(), salt), dtype="<u8").view("<i8"))
+
+
+def shingle_sets(docs: DataFrame, words: int, salt: int) -> DataFrame:
+    """doc_id, mark (hash of the text), node and key (of the set of shingles), d (its size), bits and wide (parities)."""
 
     def run(batches: Batches) -> Batches:
-        common, rank = shared.value
         for batch in batches:
-            keys, sizes, bits, firsts = [], [], [], []
-            for text in column(batch, "text"):
-                h = distinct_shingles(text, words)
-                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
-                ranks = np.where(common[at] == h, rank[at], 0) if len(common) else np.zeros(len(h), int)
-                keys.append(set_key(h))
-                sizes.append(len(h))
-                bits.append(parities(h))
-                firsts.append(h[np.lexsort((h, ranks))][: len(h) - int(needed(len(h), least)) + 1].view("<i8"))
-            yield rows_of(batch, ["doc_id", "mark"], key=pa.array(keys, pa.binary()), d=pa.array(sizes, pa.int64()), bits=pa.array(bits, pa.binary()), prefix=pa.array(firsts, pa.list_(pa.int64())))
+            got = [distinct_shingles(x, words) for x in column(batch, "text")]
+            keys, sizes = pa.array(map(set_key, got), pa.binary()), pa.array(map(len, got), pa.int64())
+            yield rows_of(batch, ["doc_id", "mark"], node=pa.array([set_node(h, salt) for h in got], pa.int64()), key=keys, d=sizes, bits=pa.array(map(parities, got), pa.binary()), wide=pa.array(map(wide_parities, got), pa.binary()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, d bigint, bits binary, prefix array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark bigint, node bigint, key binary, d bigint, bits binary, wide binary")
 
 
-def met(nodes: DataFrame) -> DataFrame:
-    """h, node, d, pos of the shingles of nodes (node, d, prefix) that stand in the prefixes of two nodes or more."""
-    dealt = nodes.select("node", F.col("d").alias("d"), F.posexplode("prefix").alias("pos", "h"))
-    dealt = dealt.select("h", "node", (F.shiftleft("d", 32) + F.col("pos")).alias("sizes")).repartition("h").sortWithinPartitions("h")
+class Parts:
+    """Keys of sets, of which two sets of similarity `least` or more have one in common, whatever they are.
 
-    def run(batches: Batches) -> Batches:
-        for (h, node, sizes), starts, stops in grouped(batches, 1):
-            more = np.repeat(stops - starts > 1, stops - starts)
-            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (h, node, sizes >> 32, sizes & 0xFFFFFFFF)], names=["h", "node", "d", "pos"])
+    Classes of sizes grow by 1 / least, so the sets of such a pair are of one class or of two that follow each other. A set has keys for its
+    class and for the next one. Class t - 1 with t allows for `apart(t)` elements that only one of the two has; hashes are dealt by their
+    first bits to more parts than that, so the sets agree in some parts, and in one that is not empty unless both have very many
+    empty parts. Each part that is not empty gives a key; a set with very many empty parts adds its first hashes, of which two such
+    sets share one. A part holds a few hashes, so unlike one shingle it is hardly ever shared by chance.
+    """
+
+    def __init__(self, least: Fraction):
+        self.least, self.begins = least, [1]
+
+    def size_class(self, d: int) -> int:
+        while self.begins[-1] <= d:
+            self.begins.append(self.begins[-1] * self.least.denominator // self.least.numerator + 1)
+        return bisect_right(self.begins, d) - 1
+
+    def apart(self, t: int) -> int:
+        """Elements that two sets of similarity `least`, the smaller one of class t - 1, do not share, at most."""
+        p, q = self.least.numerator, self.least.denominator
+        most = self.begins[t] - 1
+        return (most + most * q // p) * (q - p) // (q + p)
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Keys of a set of sorted hashes."""
+        d = len(h)
+        if not d:
+            return np.zeros(0, dtype="<i8")
+        c = self.size_class(d)
+        self.size_class(self.begins[c + 1])
+        mixed, out = scrambled(h, 1), []
+        for t in (c, c + 1):
+            apart = self.apart(t) if t else 0
+            if not apart:  # such sets are equal
+                continue
+            spare = (apart + 1) // 10 + 1
+            n = apart + 1 + spare
+            part = (h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            out.append(scrambled(np.add.reduceat(mixed, starts) + part[starts] * np.uint64(0xD6E8FEB86659FD93), 2 * t))
+            if n - len(starts) > spare:
+                out.append(scrambled(mixed[: d - int(needed(d, self.least)) + 1], 2 * t + 1))
+        return np.concatenate([np.zeros(0, "<u8"), *out]).view("<i8")
+
+
+def met(docs: DataFrame, words: int, least: Fraction, salt: int) -> DataFrame:
+    """h, node, d: groups h of nodes that have a key of Parts in common, two nodes or more. Keys with the same nodes are one group."""
+
+    def deal(batches: Batches) -> Batches:
+        parts, seen = Parts(least), set()
+        for batch in batches:
+            keys, nodes, sizes = [], [], []
+            for text in column(batch, "text"):
+                h = distinct_shingles(text, words)
+                if (node := set_node(h, salt)) not in seen:
+                    seen.add(node)
+                    keys.append(parts.keys(h))
+                    nodes.append(node)
+                    sizes.append(len(h))
+            each = np.array([len(x) for x in keys], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<i8"), *keys])), *(pa.array(np.repeat(np.array(x, dtype="<i8"), each)) for x in (nodes, sizes))], names=["h", "node", "d"])
 
-    return dealt.mapInArrow(run, "h bigint, node bigint, d bigint, pos bigint")
+    dealt = docs.select("text").mapInArrow(deal, "h bigint, node bigint, d bigint").repartition("h").sortWithinPartitions("h", "node")
 
+    def run(batches: Batches) -> Batches:
+        for (h, node, d), _, _ in grouped(batches, 1):
+            # copies of one text in several tasks
+            once = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+            h, node, d = h[once], node[once], d[once]
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n = np.diff(np.append(starts, len(h)))
+            same = np.repeat(np.add.reduceat(scrambled(node, 3), starts).view("<i8"), n)
+            more = np.repeat(n > 1, n)
+            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (same, node, d)], names=["h", "node", "d"])
 
-def reaches(d: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, least: Fraction) -> np.ndarray:
-    """Whether rows i and j of a shingle can be the first that their sets share.
+    return dealt.mapInArrow(run, "h bigint, node bigint, d bigint").distinct()
 
-    Two sets of similarity `least` share some `least / (1 + least)` of their sizes' sum, so the first shingle in the common order
-    that both have stands where that many can follow; nothing is missed.
-    """
-    up, down = least.numerator, least.numerator + least.denominator
-    return down * np.minimum(d[i] - pos[i], d[j] - pos[j]) >= up * (d[i] + d[j])
+
+def sized(d: np.ndarray, i: np.ndarray, j: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether the sizes of rows i and j are near enough for a similarity of `least`."""
+    return least.denominator * np.minimum(d[i], d[j]) >= least.numerator * np.maximum(d[i], d[j])
 
 
 def scrambled(x: np.ndarray, seed: int) -> np.ndarray:
@@ -294,17 +339,17 @@ def as_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def neighbours(shared: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (a, b): each node of a shingle with the next in a few orders that are the same for all shingles, so that copies of one
+    """Pairs (a, b): each node of a group with the next in a few orders that are the same for all groups, so that near copies of one
     text are joined by about as many pairs as they are."""
-    dealt = shared.repartition("h").sortWithinPartitions("h").select("h", "node", "d", "pos")
+    dealt = shared.repartition("h").sortWithinPartitions("h").select("h", "node", "d")
 
     def run(batches: Batches) -> Batches:
-        for (h, node, d, pos), _, _ in grouped(batches, 1):
+        for (h, node, d), _, _ in grouped(batches, 1):
             a, b = [], []
             for seed in ORDERS:
                 order = np.lexsort((scrambled(node, seed), h))
                 i, j = order[:-1], order[1:]
-                ok = (h[i] == h[j]) & reaches(d, pos, i, j, least)
+                ok = (h[i] == h[j]) & sized(d, i, j, least)
                 a.append(node[i[ok]])
                 b.append(node[j[ok]])
             yield as_pairs(np.concatenate(a), np.concatenate(b))
@@ -323,23 +368,23 @@ def unpacked(bits: pa.Array) -> np.ndarray:
 
 
 def others(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: Fraction, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of a shingle's nodes that no link joins yet and whose fingerprints are near enough. roots: node, root; nodes: node, bits."""
-    labelled = shared.join(roots, "node", "left").select("h", "node", "d", "pos", F.coalesce("root", "node").alias("root"), F.lit(0).alias("one"))
+    """Pairs (a, b) of a group's nodes that no link joins yet and whose fingerprints are near enough. roots: node, root; nodes: node, bits."""
+    labelled = shared.join(roots, "node", "left").select("h", "node", "d", F.coalesce("root", "node").alias("root"), F.lit(0).alias("one"))
     apart = labelled.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h")
     labelled = cut(labelled.join(apart, "h", "left_semi").join(nodes.select("node", "bits"), "node"), "apart")
     by = ["h", "lo", "hi"]
-    dealt = tiled(labelled, ["h"], "node", "one", 0, tile).repartition(*by).sortWithinPartitions(*by, "root").select(*by, "root", "node", "d", "pos", "bits")
+    dealt = tiled(labelled, ["h"], "node", "one", 0, tile).repartition(*by).sortWithinPartitions(*by, "root").select(*by, "root", "node", "d", "bits")
 
     def run(batches: Batches) -> Batches:
         for cols, starts, stops in grouped(batches, 3):
-            root, node, d, pos, bits = cols[3:]
+            root, node, d, bits = cols[3:]
             bits = np.frombuffer(b"".join(bits.tolist()), dtype="<u8").reshape(-1, 8)
             stop = np.repeat(stops, stops - starts)
             new = np.ones(len(root), dtype=bool)
             new[1:] = root[1:] != root[:-1]
             new[starts] = True
             heads = np.flatnonzero(new)
-            # a row meets those of its shingle that belong to a later root
+            # a row meets those of its group that belong to a later root
             first = np.append(heads[1:], len(root))[np.cumsum(new) - 1]
             n = stop - first
             ends = np.cumsum(n)
@@ -347,7 +392,7 @@ def others(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: Fractio
                 k = np.arange(k0, min(k0 + STEP, int(ends[-1])))
                 i = np.searchsorted(ends, k, side="right")
                 j = first[i] + k - (ends - n)[i]
-                ok = reaches(d, pos, i, j, least)
+                ok = sized(d, i, j, least)
                 i, j = i[ok], j[ok]
                 ok = near_bits(bits[i], bits[j], d[i] + d[j], least)
                 if ok.any():
@@ -356,34 +401,59 @@ def others(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: Fractio
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def near_wide(x: bytes, y: bytes, n: int, least: Fraction) -> bool:
+    """near_bits() of wide parities; neighbouring bits of the longer ones are joined until both have one length."""
+    p, q = (np.frombuffer(z, np.uint8) for z in (x, y))
+    if len(p) < len(q):
+        p, q = q, p
+    while len(p) > len(q):
+        each = np.unpackbits(p)
+        p = np.packbits(each[::2] ^ each[1::2])
+    return (least.denominator - least.numerator) * n >= (least.denominator + least.numerator) * int(np.bitwise_count(p ^ q).sum(dtype=np.int64))
+
+
 def possible(nodes: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
-    """pairs (a, b) without those whose parities differ in more bits than sets of similarity `least` in elements; a is the smaller set. nodes: node, d, bits."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("d").alias(f"d_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    """pairs (a, b) without those whose parities differ in more bits than sets of similarity `least` in elements; a is the smaller set. nodes: node, d, bits, wide."""
+
+    def sides(kind: str) -> list[DataFrame]:
+        return [nodes.select(F.col("node").alias(x), F.col("d").alias(f"d_{x}"), F.col(kind).alias(f"bits_{x}")) for x in "ab"]
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             yield batch.filter(pa.array(near_bits(unpacked(batch.column(3)), unpacked(batch.column(4)), np.asarray(batch.column(2)), least))).select(["a", "b"])
 
+    def run_wide(batches: Batches) -> Batches:
+        for batch in batches:
+            yield batch.filter(pa.array([near_wide(*x, least) for x in zip(*(batch.column(k).to_pylist() for k in (3, 4, 2)))], pa.bool_())).select(["a", "b"])
+
+    a, b = sides("bits")
     joined = pairs.join(a, "a").join(b, "b")
     smaller = F.struct("d_a", "a") <= F.struct(F.col("d_b").alias("d_a"), F.col("b").alias("a"))
     joined = joined.select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("b"), (F.col("d_a") + F.col("d_b")).alias("n"), "bits_a", "bits_b")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    a, b = sides("wide")
+    joined = joined.mapInArrow(run, "a bigint, b bigint").join(a, "a").join(b, "b")
+    return joined.select("a", "b", (F.col("d_a") + F.col("d_b")).alias("n"), "bits_a", "bits_b").mapInArrow(run_wide, "a bigint, b bigint")
 
 
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """Those of pairs (a, b) whose sets of shingles have a similarity of `least` or more, as a written table. nodes: node, mark, key."""
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: Fraction, salt: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets of shingles have a similarity of `least` or more, as a written table. nodes: node, mark."""
     bound_batches(docs.sparkSession, **SMALL)
-    want = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "mark", "key"), "wanted")
+    want = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "mark"), "wanted")
 
     def run(batches: Batches) -> Batches:
+        seen = set()
         for batch in batches:
-            got = [distinct_shingles(x, words) for x in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())], names=["key", "h"])
-
-    # only texts that pass the filter are shuffled
-    asked = Maybe(want.select("mark")).flag(docs.select("text", F.xxhash64("text").alias("mark")), "mark").where("maybe")
-    asked = asked.join(want.select("mark").distinct(), "mark", "left_semi").select("text").distinct()
-    sets = cut(asked.mapInArrow(run, "key binary, h binary").join(want, "key").dropDuplicates(["node"]).select("node", "h"), "sets")
+            got = {}
+            for text in column(batch, "text"):
+                h = distinct_shingles(text, words)
+                if (node := set_node(h, salt)) not in seen:
+                    seen.add(node)
+                    got[node] = h.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.int64()), pa.array(got.values(), pa.binary())], names=["node", "h"])
+
+    # texts stay where they are; only the sets of those that pass the filter are shuffled
+    asked = Maybe(want.select("mark")).flag(docs.select("text", F.xxhash64("text").alias("mark")), "mark").where("maybe").select("text")
+    sets = cut(asked.mapInArrow(run, "node bigint, h binary").join(want.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("h_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("h_b")), "b")
 
     def verify(batches: Batches) -> Batches:
@@ -400,19 +470,19 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, lea
     return out
 
 
-def linked(docs: DataFrame, nodes: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """node, root of the nodes that links of similarity `least` or more join; nothing is missed. nodes: node, key, mark, d, bits, prefix."""
+def linked(docs: DataFrame, nodes: DataFrame, words: int, least: Fraction, salt: int) -> DataFrame:
+    """node, root of the nodes that links of similarity `least` or more join; nothing is missed. nodes: node, mark, d, bits, wide."""
     spark = docs.sparkSession
 
     def verified(pairs: DataFrame) -> DataFrame:
         bound_batches(spark, rows=20_000, mb=4)
         near = cut(possible(nodes, pairs, least), "possible")
-        out = similar(docs, nodes, near, words, least)
+        out = similar(docs, nodes, near, words, least, salt)
         discard(pairs, near)
         return out
 
     bound_batches(spark, rows=50_000, mb=4)
-    shared = cut(met(nodes), "shared")
+    shared = cut(met(docs, words, least, salt), "shared")
     edges = verified(cut(neighbours(shared, least), "neighbours"))
     roots = cut(components(edges), "roots")
     bound_batches(spark, rows=20_000, mb=4)
@@ -431,20 +501,25 @@ def one_of_each(docs: DataFrame, words: int = 5, ratio: float = 0.8) -> DataFram
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, in docs' columns.
 
     A link is a Jaccard similarity of `ratio` or more of the sets of shingles of whole texts, however long, computed from the sets
-    themselves; a group is what links reach. Candidates come from prefixes of the sets, which miss no pair; copies of one text
-    meet a few others of their group each, and all other pairs are looked at only between texts that these links leave apart.
+    themselves; a group is what links reach. Candidates come from parts of the sets that agree, which miss no pair; near copies of one
+    text meet a few others of their group each, and all other pairs are looked at only between texts that these links leave apart.
     Of rows that agree in doc_id and text one stays; a row without doc_id stays if nothing in its group has one. Null and empty
     texts are near-duplicates of each other; an empty table gives an empty result; other columns may have any names.
     """
     bound_batches(docs.sparkSession, **SMALL)
     least = Fraction(str(ratio))
-    sets = cut(shingle_sets(docs, words, least), "shingle-sets")
-    # one node for each different set, with a number of its own
-    nodes = sets.groupBy("key").agg(F.min("mark").alias("mark"), F.first("d").alias("d"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = cut(sets.groupBy("doc_id", "mark", "key").count().join(nodes.select("key", "node"), "key").select("doc_id", "mark", "node", "count"), "rows")
+    for salt in range(9):
+        sets = cut(shingle_sets(docs, words, salt), "shingle-sets")
+        # one node for each different set; should two sets ever have one number, others are tried
+        nodes = cut(sets.groupBy("node").agg(F.min("mark").alias("mark"), F.first("d").alias("d"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.min("key").alias("key"), F.max("key").alias("most")), "nodes")
+        if nodes.where("key <> most").isEmpty():
+            break
+        discard(sets, nodes)
+    else:
+        raise RuntimeError("sets of shingles clash under all salts")
+    found = cut(sets.groupBy("doc_id", "mark", "node").count(), "rows")
     discard(sets)
-    roots = linked(docs, nodes, words, least)
+    roots = linked(docs, nodes, words, least, salt)
     grouped_ = cut(found.join(roots, "node", "left").select("doc_id", "mark", "count", F.coalesce("root", "node").alias("group")), "groups")
     discard(nodes)
     first = grouped_.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("stays"), F.sum("count").alias("rows"))

@@ -181,3 +181,47 @@ def test_one_of_each_matches_brute_force(spark, sf_more):
     for k, r in enumerate(rows):
         want[find(k)] = min(want.get(find(k), r["doc_id"]), r["doc_id"])
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(want.values())
+
+
+@pytest.mark.parametrize("ratio", ["0.5", "0.8", "0.95"])
+def test_similar_sets_have_a_key_in_common(ratio):
+    """Pairs at the ratio or barely above, of all sizes, also where most parts are empty."""
+    rng, least = np.random.default_rng(11), Fraction(ratio)
+    parts, pairs = simhash.Parts(least), 0
+    for n in [*range(1, 40), *rng.integers(40, 2500, 60).tolist()] * 4:
+        a = np.unique(rng.integers(0, 2**64 if n % 3 else 2**40, n, dtype=np.uint64))  # every third has all hashes in one part
+        gone = int(rng.integers(0, int(n * (1 - least)) + 1))
+        more = int((n - gone) / least - n)
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64 if n % 3 else 2**40, more, dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if Fraction(both, len(a) + len(b) - both) >= least and not np.array_equal(a, b):
+            pairs += 1
+            assert np.intersect1d(parts.keys(a), parts.keys(b)).size
+    assert pairs > 100 and not parts.keys(np.zeros(0, "<u8")).size
+
+
+def test_long_texts_with_a_passage_in_common_are_not_compared(spark, monkeypatch):
+    """Nothing but near-duplicates is shuffled as whole sets: of long unrelated texts that share a passage by twos, none is."""
+    rng, rows = np.random.default_rng(5), {}
+    texts = [[f"w{x}" for x in rng.integers(0, 10**6, 1500)] for _ in range(60)]
+    for k in range(0, 59):
+        texts[k][100 : 130], texts[k + 1][200 : 230] = ([f"p{k}x{j}" for j in range(30)],) * 2
+    whole = simhash.cut
+
+    def cut(df, name):
+        out = whole(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    docs = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate([*texts, texts[0][:-20]])], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(range(60))
+    assert rows["sets"] == 2
+
+
+def test_one_group_for_keys_with_the_same_nodes(spark):
+    """A near-duplicate that agrees in very many parts with one text meets it in few groups, and copies count once."""
+    words = [f"w{k}" for k in range(1200)]
+    docs = spark.createDataFrame([(k, " ".join(words[:-k] if k % 3 else words)) for k in range(12)], "doc_id long, text string").repartition(6)
+    got = simhash.met(docs, 5, Fraction(4, 5), 0).collect()
+    assert len(got) == len({(r["h"], r["node"]) for r in got}) and len({r["node"] for r in got}) == 9 and len(got) < 100
