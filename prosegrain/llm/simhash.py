@@ -20,7 +20,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegrain.llm.common import SMALL, Batches, Maybe, bound_batches, column, components, cut, discard, rows_of
@@ -32,6 +32,8 @@ CELLS, STEP = 1 << 19, 1 << 16
 TILE = 1 << 14
 #: Orders in which the texts of a group meet their neighbours before all other pairs are looked at.
 ORDERS = tuple(range(1, 7))
+#: Groups in which a text meets its neighbours; near copies of one text have hundreds of groups in common.
+MEETINGS = 8
 
 
 def shingles(text: str | None, words: int) -> Iterable[bytes]:
@@ -241,13 +243,18 @@ def shingle_sets(docs: DataFrame, words: int, salt: int) -> DataFrame:
 class Parts:
     """Keys of sets, of which two sets of similarity `least` or more have one in common, whatever they are.
 
-    Classes of sizes grow by 1 / least, so the sets of such a pair are of one class or of two that follow each other. A set has keys for its
-    class and for the next one. Class t - 1 with t allows for `apart(t)` elements that only one of the two has; hashes are dealt by their
-    first bits to more parts than that, so the sets agree in some parts, and in one that is not empty unless both have very many
-    empty parts. Each part that is not empty gives a key; a set with very many empty parts adds its first hashes, of which two such
-    sets share one. A part holds a few hashes, so unlike one shingle it is hardly ever shared by chance.
+    Classes of sizes grow by 1 / least, so the sets of such a pair are of one class or of two that follow each other. A set meets its own and
+    the next class in one round, the class before in another. In a round, hashes are dealt by their first bits to more parts than elements
+    that only one of two sets can have, so the sets agree in some parts. A set has keys for its largest parts, one more than elements that it
+    and any partner can differ by: of the one whose parts reach less far down, one part agrees with the other set, which then has it as well, as
+    all go by the same order of parts. With SPARE parts more, the largest ones hold two hashes or more but for small sets, so
+    texts that share one shingle by chance do not meet. A set with too few parts that are not empty adds its first hashes, of which two
+    such sets share one.
     """
 
+    #: Parts beyond those that may differ, as a share of these.
+    SPARE = Fraction(1, 4)
+
     def __init__(self, least: Fraction):
         self.least, self.begins = least, [1]
 
@@ -256,11 +263,10 @@ class Parts:
             self.begins.append(self.begins[-1] * self.least.denominator // self.least.numerator + 1)
         return bisect_right(self.begins, d) - 1
 
-    def apart(self, t: int) -> int:
-        """Elements that two sets of similarity `least`, the smaller one of class t - 1, do not share, at most."""
+    def most_apart(self, d: int, other: int) -> int:
+        """Elements that sets of d and of `other` elements at most, of similarity `least`, do not share, at most."""
         p, q = self.least.numerator, self.least.denominator
-        most = self.begins[t] - 1
-        return (most + most * q // p) * (q - p) // (q + p)
+        return (d + min(other, d * q // p)) * (q - p) // (q + p)
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """Keys of a set of sorted hashes."""
@@ -271,15 +277,20 @@ class Parts:
         self.size_class(self.begins[c + 1])
         mixed, out = scrambled(h, 1), []
         for t in (c, c + 1):
-            apart = self.apart(t) if t else 0
+            if not t:  # no set is smaller
+                continue
+            # the smaller set of a round is of class t - 1, the larger one of it or of class t
+            apart = self.most_apart(d, self.begins[t] - 1 if t == c else self.begins[t + 1] - 1)
             if not apart:  # such sets are equal
                 continue
-            spare = (apart + 1) // 10 + 1
-            n = apart + 1 + spare
+            most = self.most_apart(self.begins[t] - 1, self.begins[t + 1] - 1)
+            n = most + 1 + int(most * self.SPARE)
             part = (h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            out.append(scrambled(np.add.reduceat(mixed, starts) + part[starts] * np.uint64(0xD6E8FEB86659FD93), 2 * t))
-            if n - len(starts) > spare:
+            size = np.diff(np.append(starts, d))
+            keys = scrambled(np.add.reduceat(mixed, starts) + part[starts] * np.uint64(0xD6E8FEB86659FD93), 2 * t)
+            out.append(keys[np.lexsort((keys, -size))[: apart + 1]])
+            if len(starts) <= apart:
                 out.append(scrambled(mixed[: d - int(needed(d, self.least)) + 1], 2 * t + 1))
         return np.concatenate([np.zeros(0, "<u8"), *out]).view("<i8")
 
@@ -338,33 +349,50 @@ def as_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new])], names=["a", "b"])
 
 
-def neighbours(shared: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (a, b): each node of a group with the next in a few orders that are the same for all groups, so that near copies of one
-    text are joined by about as many pairs as they are."""
-    dealt = shared.repartition("h").sortWithinPartitions("h").select("h", "node", "d")
-
-    def run(batches: Batches) -> Batches:
-        for (h, node, d), _, _ in grouped(batches, 1):
-            a, b = [], []
-            for seed in ORDERS:
-                order = np.lexsort((scrambled(node, seed), h))
-                i, j = order[:-1], order[1:]
-                ok = (h[i] == h[j]) & sized(d, i, j, least)
-                a.append(node[i[ok]])
-                b.append(node[j[ok]])
-            yield as_pairs(np.concatenate(a), np.concatenate(b))
-
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
 def near_bits(p: np.ndarray, q: np.ndarray, n: np.ndarray, least: Fraction) -> np.ndarray:
     """Whether parities differ in no more bits than sets of similarity `least` and sizes of sum n in elements."""
     apart = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
     return (least.denominator - least.numerator) * n >= (least.denominator + least.numerator) * apart
 
 
-def unpacked(bits: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(bits.to_pylist()), dtype="<u8").reshape(-1, 8)
+def once(found: Iterable[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> Batches:
+    """as_pairs() of a task's pairs, each pair once as long as no more than about `most` are held: near copies meet in very many groups."""
+    held, n = [], 0
+    for a, b in found:
+        held.append((a, b))
+        n += len(a)
+        if n >= most:
+            batch = as_pairs(*map(np.concatenate, zip(*held)))
+            held, n = [tuple(map(np.asarray, batch.columns))], batch.num_rows
+            if 2 * n > most:
+                yield batch
+                held, n = [], 0
+    if n:
+        yield as_pairs(*map(np.concatenate, zip(*held)))
+
+
+def neighbours(shared: DataFrame, least: Fraction, nodes: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b): each node of a group with the next in a few orders that are the same for all groups, so that near copies of one
+    text are joined by about as many pairs as they are. A node does so in MEETINGS groups, the first in an order that is the same for all
+    nodes, so there are no more than a number of pairs for each node, however large and many its groups are; others() looks at all that stays apart.
+    nodes: node, bits; with it, pairs whose parities differ too much are left out."""
+    first = Window.partitionBy("node").orderBy(F.xxhash64("h"), "h")
+    few = shared.withColumn("at", F.row_number().over(first)).where(F.col("at") <= MEETINGS)
+    few = few.join(nodes.select("node", "bits"), "node") if nodes else few.withColumn("bits", F.lit(bytes(64)))
+    dealt = few.repartition("h").sortWithinPartitions("h").select("h", "node", "d", "bits")
+
+    def found(batches: Batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for (h, node, d, bits), _, _ in grouped(batches, 1):
+            bits = np.frombuffer(b"".join(bits.tolist()), dtype="<u8").reshape(-1, 8)
+            for seed in ORDERS:
+                order = np.lexsort((scrambled(node, seed), h))
+                i, j = order[:-1], order[1:]
+                ok = (h[i] == h[j]) & sized(d, i, j, least)
+                i, j = i[ok], j[ok]
+                ok = near_bits(bits[i], bits[j], d[i] + d[j], least)
+                yield node[i[ok]], node[j[ok]]
+
+    return dealt.mapInArrow(lambda batches: once(found(batches)), "a bigint, b bigint").distinct()
 
 
 def others(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: Fraction, tile: int = TILE) -> DataFrame:
@@ -375,7 +403,7 @@ def others(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: Fractio
     by = ["h", "lo", "hi"]
     dealt = tiled(labelled, ["h"], "node", "one", 0, tile).repartition(*by).sortWithinPartitions(*by, "root").select(*by, "root", "node", "d", "bits")
 
-    def run(batches: Batches) -> Batches:
+    def found(batches: Batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for cols, starts, stops in grouped(batches, 3):
             root, node, d, bits = cols[3:]
             bits = np.frombuffer(b"".join(bits.tolist()), dtype="<u8").reshape(-1, 8)
@@ -395,10 +423,9 @@ def others(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: Fractio
                 ok = sized(d, i, j, least)
                 i, j = i[ok], j[ok]
                 ok = near_bits(bits[i], bits[j], d[i] + d[j], least)
-                if ok.any():
-                    yield as_pairs(node[i[ok]], node[j[ok]])
+                yield node[i[ok]], node[j[ok]]
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(lambda batches: once(found(batches)), "a bigint, b bigint").distinct()
 
 
 def near_wide(x: bytes, y: bytes, n: int, least: Fraction) -> bool:
@@ -413,26 +440,14 @@ def near_wide(x: bytes, y: bytes, n: int, least: Fraction) -> bool:
 
 
 def possible(nodes: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
-    """pairs (a, b) without those whose parities differ in more bits than sets of similarity `least` in elements; a is the smaller set. nodes: node, d, bits, wide."""
-
-    def sides(kind: str) -> list[DataFrame]:
-        return [nodes.select(F.col("node").alias(x), F.col("d").alias(f"d_{x}"), F.col(kind).alias(f"bits_{x}")) for x in "ab"]
+    """pairs (a, b) without those whose wide parities differ in more bits than sets of similarity `least` in elements. nodes: node, d, wide."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            yield batch.filter(pa.array(near_bits(unpacked(batch.column(3)), unpacked(batch.column(4)), np.asarray(batch.column(2)), least))).select(["a", "b"])
-
-    def run_wide(batches: Batches) -> Batches:
         for batch in batches:
             yield batch.filter(pa.array([near_wide(*x, least) for x in zip(*(batch.column(k).to_pylist() for k in (3, 4, 2)))], pa.bool_())).select(["a", "b"])
 
-    a, b = sides("bits")
-    joined = pairs.join(a, "a").join(b, "b")
-    smaller = F.struct("d_a", "a") <= F.struct(F.col("d_b").alias("d_a"), F.col("b").alias("a"))
-    joined = joined.select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("b"), (F.col("d_a") + F.col("d_b")).alias("n"), "bits_a", "bits_b")
-    a, b = sides("wide")
-    joined = joined.mapInArrow(run, "a bigint, b bigint").join(a, "a").join(b, "b")
-    return joined.select("a", "b", (F.col("d_a") + F.col("d_b")).alias("n"), "bits_a", "bits_b").mapInArrow(run_wide, "a bigint, b bigint")
+    a, b = (nodes.select(F.col("node").alias(x), F.col("d").alias(f"d_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("d_a") + F.col("d_b")).alias("n"), "wide_a", "wide_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: Fraction, salt: int) -> DataFrame:
@@ -483,7 +498,7 @@ def linked(docs: DataFrame, nodes: DataFrame, words: int, least: Fraction, salt:
 
     bound_batches(spark, rows=50_000, mb=4)
     shared = cut(met(docs, words, least, salt), "shared")
-    edges = verified(cut(neighbours(shared, least), "neighbours"))
+    edges = verified(cut(neighbours(shared, least, nodes), "neighbours"))
     roots = cut(components(edges), "roots")
     bound_batches(spark, rows=20_000, mb=4)
     more = verified(cut(others(shared, roots, nodes, least), "others"))

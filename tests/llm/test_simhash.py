@@ -225,3 +225,44 @@ def test_one_group_for_keys_with_the_same_nodes(spark):
     docs = spark.createDataFrame([(k, " ".join(words[:-k] if k % 3 else words)) for k in range(12)], "doc_id long, text string").repartition(6)
     got = simhash.met(docs, 5, Fraction(4, 5), 0).collect()
     assert len(got) == len({(r["h"], r["node"]) for r in got}) and len({r["node"] for r in got}) == 9 and len(got) < 100
+
+
+def test_sets_that_share_a_shingle_by_chance_have_no_key_in_common():
+    rng, parts = np.random.default_rng(6), simhash.Parts(Fraction(4, 5))
+    for _ in range(400):
+        a, b = (np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64)) for _ in range(2))
+        assert not np.intersect1d(parts.keys(a), parts.keys(np.unique(np.append(b[1:], a[rng.integers(len(a))])))).size
+
+
+def test_candidates_of_loose_copies_do_not_grow_with_their_pairs(spark, monkeypatch):
+    """Copies of one text that are too far apart for links agree in very many parts, and are hardly ever candidates."""
+    rng, rows = np.random.default_rng(9), {}
+    words = [f"w{k}" for k in range(800)]
+    whole = simhash.cut
+
+    def cut(df, name):
+        out = whole(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    docs = spark.createDataFrame([(k, near(words, 45, rng)) for k in range(60)] + [(60, " ".join(words)), (61, " ".join(words[:-9]))], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(range(61))
+    assert rows["shared"] > 1000 and rows["neighbours"] <= 62 and rows["others"] <= 62
+
+
+def test_neighbours_are_bounded_by_the_nodes_however_many_groups_they_share(spark):
+    rng = np.random.default_rng(8)
+    shared = [(h, k, 100) for h in range(300) for k in range(100) if rng.random() < 0.6]
+    pairs = simhash.neighbours(spark.createDataFrame(shared, "h long, node long, d long"), Fraction(4, 5)).collect()
+    assert len(set(reachable(map(tuple, pairs)).values())) == 1 and len(pairs) < 20 * 100
+
+
+def test_a_task_gives_each_pair_once():
+    rng = np.random.default_rng(3)
+    found = [tuple(rng.integers(0, 30, (2, 50))) for _ in range(100)]
+    want = {(min(a, b), max(a, b)) for x, y in found for a, b in zip(x.tolist(), y.tolist())}
+    for most in (10, 2000, 1 << 18):
+        got = [(a, b) for batch in simhash.once(iter(found), most) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+        assert set(got) == want and (most == 10 or len(got) == len(want))
+    assert list(simhash.once(iter([]))) == []
