@@ -126,3 +126,58 @@ def test_ranking_orders_pairs():
     y = (x[:, 2] + 0.05 * rng.standard_normal(400) < 0.6).astype(int)
     s = Ranking(x, y, 0.3).scores(x)
     assert auc(list(zip(s, y))) > 0.97 and ((s >= 0.3) == y).mean() > 0.9
+
+
+def test_quality_is_learned_from_all_labelled_documents(spark):
+    """The bad ones are those that a sample of 12,000 by hashes leaves out."""
+    rows = spark.range(16_000).selectExpr("id as doc_id", "pmod(crc32(cast(id as string)), 5) = 0 as held", "xxhash64(id) as place").orderBy("held", "place").collect()
+    learned = [r["doc_id"] for r in rows if not r["held"]]
+    bad = {*learned[12_000:]} | {r["doc_id"] for r in rows if r["held"] and r["doc_id"] % 9 == 0}
+    assert len(learned) > 12_500
+    docs = spark.createDataFrame([(r["doc_id"], "$$ ## no no no" if r["doc_id"] in bad else "a sentence of plain words, said once") for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r["doc_id"], int(r["doc_id"] not in bad)) for r in rows], "doc_id long, quality int")
+    got = quality_classifier(docs, labels).collect()
+    assert {(r["doc_id"], r["predicted"]) for r in got} == {(r["doc_id"], int(r["doc_id"] not in bad)) for r in rows}
+
+
+@pytest.mark.parametrize("good,bad", [(900, 300), (1000, 3), (5, 700)])
+def test_groups_have_all_rows_and_the_rarer_label(spark, monkeypatch, good, bad):
+    from prosegrain.llm import quality_classifier as q
+
+    monkeypatch.setattr(q, "GROUP", 100)
+    monkeypatch.setattr(q, "LEAST", 30)
+    rows = spark.createDataFrame([(k, int(k < good), [float(k)]) for k in range(good + bad)], "doc_id long, label int, x array<double>")
+    got = [g["rows"] for g in q.dealt(rows, good, bad).collect()]
+    assert sorted(r["x"][0] for g in got for r in g if r["first"]) == list(range(good + bad))
+    assert len(got) == -(-max(good, bad) // 100) and max(map(len, got)) < 400
+    assert all({r["label"] for r in g} == {0, 1} for g in got)
+
+
+@pytest.mark.parametrize("values", ["normal", "ties", "one", "spread"])
+def test_the_threshold_is_the_quantile_of_all_scores(values, monkeypatch):
+    import numpy as np
+
+    from prosegrain.llm import quality_classifier as q
+
+    monkeypatch.setattr(q, "NEAR", 5)
+    rng = np.random.default_rng(2)
+    s = {"normal": rng.standard_normal(4000), "ties": rng.integers(0, 4, 4000) / 3, "one": np.full(50, 0.1), "spread": np.exp(40 * rng.standard_normal(3000))}[values]
+    order, parts = np.sort(s), np.array_split(s, 7)
+    for rank in {0, 1, len(s) // 3, len(s) // 2, len(s) - 2, len(s) - 1}:
+        got = q.lowest(lambda f: [f(x) for x in parts], rank, s.min(), s.max())
+        assert got == (order[rank], order[min(rank + 1, len(s) - 1)])
+
+
+def test_weights_are_the_minimum_of_the_loss_of_all_pairs():
+    import numpy as np
+
+    from prosegrain.llm.quality_classifier import expand
+
+    rng = np.random.default_rng(4)
+    x = rng.random((150, 13))
+    y = (x[:, 3] + 0.3 * rng.standard_normal(150) < 0.5).astype(int)
+    m = Ranking(x, y, 0.3)
+    z = m.standard(expand(x))
+    d = np.array([a - b for a in z[y == 1] for b in z[y == 0]])
+    assert np.abs(1e-3 * m.w - (d / (1 + np.exp(d @ m.w))[:, None]).mean(axis=0)).max() < 1e-6
+    assert abs(m.cut - np.quantile(z @ m.w, np.mean(y == 0))) < 1e-9
