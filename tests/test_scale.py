@@ -22,3 +22,43 @@ def test_compounds_of_a_batch_are_those_of_its_lines():
     assert want and coinage.compounds_of(batch).to_pylist() == want
     assert [x for at in range(0, len(rows), 333) for x in coinage.compounds_of(batch.slice(at, 333)).to_pylist()] == want
     assert coinage.compounds_of(batch.slice(0, 0)).num_rows == 0
+
+
+def test_ranges_stand_for_scripts(spark):
+    from pyspark.sql import functions as F
+
+    from prosegrain.functions.text import JA
+    from prosegrain.operators.rules import MAYBE_HAN
+
+    points = spark.createDataFrame(pa.table({"x": [chr(k) for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000]}))
+    assert points.where(F.col("x").rlike(JA) != F.col("x").rlike(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]")).count() == 0
+    assert points.where(F.col("x").rlike(r"[\p{IsHan}々]") & ~F.repeat("x", F.lit(7)).rlike(MAYBE_HAN)).count() == 0
+
+
+def test_sentences_of_lines_that_wrap_and_that_do_not(spark):
+    from prosegrain.operators.scopes import exploded, scopes
+
+    docs = [("a", " 一。二！ 三？四\n\n# 五\n 。。 \n六\t\r\n\n"), ("b", " 一。二！ 三？四\n続き。五\n# 見出し\n六\n")]
+    got = exploded(scopes(spark.createDataFrame(docs, "file string, text string")), "sentences").collect()
+    assert [(r["line"], r["text"]) for r in got if r["file"] == "a"] == [(1, "一。"), (1, "二！"), (1, "三？"), (1, "四"), (4, "。"), (4, "。"), (5, "六")]
+    assert [(r["line"], r["text"]) for r in got if r["file"] == "b"] == [(1, "一。"), (1, "二！"), (1, "三？"), (1, "四続き。"), (2, "五"), (4, "六")]
+
+
+def test_latin_runs_judge_words_by_what_stands_around_them(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from prosegrain.operators.rules import latin_runs
+
+    def plain(line):
+        parts = []
+        for t in re.findall(r"\S+|\s+", line):
+            odd = re.search("[0-9_/]", t) or re.search("[A-Z]", t) and re.search("[a-z]", t) or t.lower().startswith("doi:")
+            parts.append("。" if odd and re.search("[A-Za-z]", t) else re.sub("[a-z]+[A-Z-][A-Za-z-]*|[A-Z][A-Za-z-]*", "。", t))
+        return re.findall("[a-z]{2,}(?:[ 　]+[a-z]{2,})*", "".join(parts))
+
+    rng = random.Random(9)
+    lines = ["".join(rng.choice(["ab", "cde", "A", "B", "-", "1", "_", "/", " ", " ", "　", "の", "doi:", "DOI:", "Doi", ":", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", latin_runs(F.col("x")).alias("runs")).collect()
+    assert [list(r["runs"]) for r in got] == [plain(r["x"]) for r in got]
