@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosegrain.config import UNITS, Config
-from prosegrain.functions.text import JA, bound, fenced, first_match, ltrim, matches, rtrim, text, times, trim
-from prosegrain.operators.scopes import BULLET, exploded
+from prosegrain.functions.text import JA, JA_RANGES, bound, ends, fenced, first_match, holds, ltrim, matches, rtrim, text, times, trim, without
+from prosegrain.operators.scopes import BULLET, ENDS, exploded
 from prosegrain.operators.similar import TILE, close_pairs, unit_pairs
 
 #: The words, endings and forms that the rules are defined by.
@@ -252,8 +252,9 @@ def unterminated_prose(d: DataFrame, c: Config) -> DataFrame:
     u = exploded(d, "units")
     parts = F.when(F.col("is_bullet"), F.transform(F.split("text", "\n"), lambda s, i: F.struct((F.col("line") + i).alias("l"), trim(s).alias("s")))).otherwise(F.array(F.struct(F.col("line").alias("l"), trim(F.col("text")).alias("s"))))
     u = u.select("file", "seq", F.explode(parts).alias("it")).select("file", "seq", F.col("it.l").alias("line"), F.col("it.s").alias("s"))
-    end = F.regexp_replace("s", r"[*_` \t]+$", "")
-    return rows(u.where((F.length("s") >= 8) & (end != "") & ~end.rlike(TERMINATED)), F.length("s"), F.right(F.col("s"), F.lit(20)))
+    end = F.when(ends(F.col("s"), "*", "_", "`"), F.regexp_replace("s", r"[*_` \t]+$", "")).otherwise(F.col("s"))  # s ends in no white space
+    u = u.where(F.length("s") >= 8).withColumn("end", fenced(end))
+    return rows(u.where((F.col("end") != "") & ~F.right(F.col("end"), F.lit(3)).rlike(TERMINATED)), F.length("s"), F.right(F.col("s"), F.lit(20)))
 
 
 def deflated_bits(x: str) -> Column:
