@@ -145,17 +145,14 @@ def verb_calque(d: DataFrame, c: Config) -> DataFrame:
 def latin_runs(x: Column, allowed: tuple[str, ...] = ()) -> Column:
     """Runs of bare lower-case words of a line. A word is judged by all that stands around it up to white space: with a digit, an
     underscore, a slash or letters of both cases nothing there counts; names in capitals and hyphenated words part runs."""
-    odd = lambda t: t.rlike("[0-9_/]") | (t.rlike("[A-Z]") & t.rlike("[a-z]")) | F.lower(t).startswith("doi:")
-    masked = lambda t: F.regexp_replace(t, "[a-z]+[A-Z-][A-Za-z-]*|[A-Z][A-Za-z-]*", "。")
-    parts = F.transform(F.regexp_extract_all(x, F.lit(r"(?U)\S+|\s+"), F.lit(0)), lambda t: F.when(odd(t) & t.rlike("[A-Za-z]"), "。").otherwise(masked(t)))
-    line = F.array_join(parts, "")
+    line = F.regexp_replace(F.when(x.rlike("[0-9_/:A-Z]"), F.regexp_replace(x, ODD, "。")).otherwise(x), "(?<![a-z])[a-z]++[A-Z-][A-Za-z-]*|[A-Z][A-Za-z-]*", "。")
     if allowed:
         line = F.regexp_replace(line, "(?<![a-z])(?:" + "|".join(sorted(rf"\Q{w}\E" for w in allowed)) + ")(?![a-z])", "。")
     return F.regexp_extract_all(line, F.lit("[a-z]{2,}+(?:[ 　]++[a-z]{2,}+)*+"), F.lit(0))
 
 
 def latin_token(d: DataFrame, c: Config) -> DataFrame:
-    run = F.transform(latin_runs(F.col("text"), c.allow_vocabulary), lambda r: F.struct(F.regexp_replace(r, "[ 　]+", " ").alias("g0")))
+    run = F.transform(latin_runs(F.col("text"), c.allow_vocabulary), lambda r: F.struct(F.when(holds(r, "  ", "　"), F.regexp_replace(r, "[ 　]+", " ")).otherwise(r).alias("g0")))
     return rows(_each(d, "clean", run), F.size(F.split("g0", " ")), F.col("g0"))
 
 
