@@ -317,8 +317,8 @@ def spread(xs: Column) -> Column:
 def rhythm_stats(d: DataFrame) -> DataFrame:
     """A row for each document: sentences, mean_chars, stdev_chars, burstiness, paragraphs, para_mean_sentences, para_cv and first lines."""
     marked = F.transform(F.split("text", "\n"), lambda s: s.rlike(MARKER))
-    closed = bound(marked, lambda ms: F.filter("sentences", lambda s: ~F.coalesce(F.get(ms, s["line"] - 1), F.lit(False)) & s["text"].rlike("[。！？]$")))
-    terms = lambda s: F.length(s) - F.length(F.translate(s, "。！？", ""))
+    closed = bound(marked, lambda ms: F.filter("sentences", lambda s: ~F.coalesce(F.get(ms, s["line"] - 1), F.lit(False)) & ends(s["text"], *ENDS)))
+    terms = lambda s: F.length(s) - F.length(without(s, ENDS))
     paras = F.filter(F.transform(F.filter("units", lambda u: ~u["is_bullet"] & ~ltrim(u["text"]).startswith(">")), lambda u: F.struct(u["line"].alias("line"), terms(u["text"]).alias("n"))), lambda p: p["n"] >= 1)
     x = d.select("file", closed.alias("closed"), paras.alias("paras"))
     s, p = spread(F.transform("closed", lambda t: F.length(t["text"]).cast("double"))), spread(F.transform("paras", lambda t: t["n"].cast("double")))
