@@ -141,7 +141,13 @@ def missing_counter(d: DataFrame, c: Config) -> DataFrame:
 
 
 def verb_calque(d: DataFrame, c: Config) -> DataFrame:
-    return rows(_each(d, "bare", _all("text", CALQUE, 1, 2)), None, F.concat("g0", "g1"))
+    some = d.withColumn("bare", F.transform("bare", lambda s: F.when(holds(s, *"さしすせで") & s.rlike("[A-Za-z-] *[さしすせで]"), s).otherwise("")))  # no inflection begins with another letter
+    return rows(_each(some, "bare", _all("text", CALQUE, 1, 2)), None, F.concat("g0", "g1"))
+
+
+#: What stands between white space and has a letter, and a digit, an underscore, a slash, letters of both cases or doi: at its start.
+_TO = lambda of: rf"(?=[^{of}\s]*+[{of}])"
+ODD = rf"(?U)(?<!\S){_TO('A-Za-z')}(?:{_TO('0-9_/')}|{_TO('A-Z')}{_TO('a-z')}|(?=[dD][oO][iI]:))\S++"
 
 
 def latin_runs(x: Column, allowed: tuple[str, ...] = ()) -> Column:
