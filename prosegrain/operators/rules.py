@@ -57,12 +57,15 @@ def max_ten(d: DataFrame, c: Config) -> DataFrame:
     return rows(exploded(d, "sentences").where(n > c.max_ten), n)
 
 
-def _first(d: DataFrame, pattern: str) -> DataFrame:
-    return rows(exploded(d, "sentences").where(F.col("text").rlike(pattern)), None, first_match(F.col("text"), pattern))
+def _first(d: DataFrame, pattern: str, *needs: str) -> DataFrame:
+    """needs: literals, one of which is in every match."""
+    s = exploded(d, "sentences")
+    s = s.where(holds(F.col("text"), *needs)) if needs else s
+    return rows(s.where(F.col("text").rlike(pattern)), None, first_match(F.col("text"), pattern))
 
 
 def double_negative(d: DataFrame, c: Config) -> DataFrame:
-    return _first(d, DOUBLE_NEGATIVE)
+    return _first(d, DOUBLE_NEGATIVE, "なくはな", "なくもな", "ないこと", "ないとは", "ないわけ")
 
 
 def hedge_pileup(d: DataFrame, c: Config) -> DataFrame:
@@ -83,7 +86,7 @@ def no_chain(d: DataFrame, c: Config) -> DataFrame:
 
 
 def verbose_potential(d: DataFrame, c: Config) -> DataFrame:
-    return _first(d, "することが(?:でき|可能)")
+    return _first(d, "することが(?:でき|可能)", "することが")
 
 
 def kanji_run(d: DataFrame, c: Config) -> DataFrame:
