@@ -36,6 +36,8 @@ TEMPLATE = r"^[ \t]*[-*+][ \t]\*\*[^*]+\*\*[:：]"
 COLON = "[ぁ-ん][:：]$"
 BLOCK = rf"^[ \t]*(?:{BULLET}|```|>|\|)"
 TERMINATED = r"""[。？！」』）)"']$"""
+#: Seven characters of blocks that have all Han characters; asking for a character's script takes many times as long.
+MAYBE_HAN = r"[\x{2E80}-\x{303F}\x{3100}-\x{D7FF}\x{F900}-\x{FAFF}\x{10000}-\x{10FFFF}]{7}"
 MARKER = rf"(?U)^\s*(?:>|{BULLET})"
 
 
@@ -90,7 +92,8 @@ def verbose_potential(d: DataFrame, c: Config) -> DataFrame:
 
 
 def kanji_run(d: DataFrame, c: Config) -> DataFrame:
-    return _first(d, r"[\p{IsHan}々]{7,}")
+    some = d.withColumn("sentences", F.filter("sentences", lambda s: s["text"].rlike(MAYBE_HAN)))
+    return _first(some, r"[\p{IsHan}々]{7,}")
 
 
 def exclamation(d: DataFrame, c: Config) -> DataFrame:
