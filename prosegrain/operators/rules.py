@@ -248,7 +248,7 @@ def colon_continuation(d: DataFrame, c: Config) -> DataFrame:
 
 def latin_density(d: DataFrame, c: Config, every: bool = False) -> DataFrame:
     """Latin words for 100 Japanese characters of each unit with 40 of these or more; every: below the threshold as well."""
-    u = exploded(d, "units").withColumn("ja", matches(F.col("text"), JA)).where("ja >= 40")
+    u = exploded(d, "units").where(F.length("text") >= 40).withColumn("ja", fenced(F.length(F.regexp_replace("text", f"[^{JA_RANGES}]++", "")))).where("ja >= 40")
     tokens = F.filter(F.regexp_extract_all("text", F.lit("[a-zA-Z][a-zA-Z0-9_-]*"), F.lit(0)), lambda t: ~t.rlike("[_0-9]") & ~t.rlike("^[A-Z]{2,}$"))
     tokens = F.filter(F.transform(tokens, F.lower), lambda t: (F.length(t) >= 2) & ~t.rlike("^[ivx]+$"))
     if exempt := {w.lower() for w in (*c.allow, *c.allow_vocabulary)}:
