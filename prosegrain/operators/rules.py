@@ -97,7 +97,7 @@ def kanji_run(d: DataFrame, c: Config) -> DataFrame:
 
 
 def exclamation(d: DataFrame, c: Config) -> DataFrame:
-    return _first(d, "[！!]")
+    return _first(d, "[！!]", "！", "!")
 
 
 def style_mixing(d: DataFrame, c: Config) -> DataFrame:
