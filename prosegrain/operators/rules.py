@@ -304,13 +304,20 @@ def near_units(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     return close_pairs(own, COSINE), u.join(own, ["file", "t"]).select("file", "id", "seq", "line")
 
 
-def near_duplicate(d: DataFrame, c: Config, tile: int = TILE) -> DataFrame:
+def may_be_large(x: Column, tile: int = TILE) -> Column:
+    """Whether a text is long enough for more than `tile` units that near_duplicate() looks at."""
+    return F.length(x) > 40 * tile
+
+
+def near_duplicate(d: DataFrame, c: Config, tile: int = TILE, large: DataFrame | None = None) -> DataFrame:
     """Pairs of a document's units whose pairs of letters have a cosine of 0.65 or more, at the later one's line; word is the earlier one's line.
 
     A document of up to `tile` units stays in its row; a longer one is dealt out by runs of units. The rule asks for all pairs;
-    near_units() has pairs of different texts and who has them.
+    near_units() has pairs of different texts and who has them. large: those of d whose text may_be_large(), or more; without it
+    the scopes of all documents are made twice.
     """
-    found = unit_pairs(d.select("file", _long_units().alias("us")), COSINE, tile)
+    own = lambda x: x.select("file", _long_units().alias("us"))
+    found = unit_pairs(own(d), COSINE, tile, None if large is None else own(large))
     return rows(found, F.col("cosine"), F.col("other"))
 
 

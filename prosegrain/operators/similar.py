@@ -20,6 +20,8 @@ from prosegrain.functions.text import fenced
 
 #: Units of a tile, and columns of a product: what a task holds at once.
 TILE, COLUMNS = 1024, 1024
+#: Pairs that are handed on together; a batch for each document would cost more than its pairs.
+PAIRS = 1 << 16
 
 
 def letter_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -81,11 +83,12 @@ def close_pairs(units: DataFrame, least: Fraction, tile: int = TILE) -> DataFram
     return dealt.groupBy("file", "lo", "hi").applyInArrow(run, "file string, a bigint, b bigint, cosine double")
 
 
-def unit_pairs(docs: DataFrame, least: Fraction, tile: int = TILE) -> DataFrame:
+def unit_pairs(docs: DataFrame, least: Fraction, tile: int = TILE, large: DataFrame | None = None) -> DataFrame:
     """file, seq, line, cosine, other of the pairs of units of docs (file, us: seq, line, t, in order), at the later one's place.
 
     A document of up to `tile` units is looked at in its row. The units of a longer one are cut into runs of that many, and every two
-    runs are a row of their own, dealt out to all tasks.
+    runs are a row of their own, dealt out to all tasks. large: those of docs that can have more units than that, if the caller knows;
+    else all of docs are made a second time to look for them.
     """
     ship(docs.sparkSession)
     names = ["file", "seq", "line", "cosine", "other"]
@@ -103,17 +106,27 @@ def unit_pairs(docs: DataFrame, least: Fraction, tile: int = TILE) -> DataFrame:
         later = one if two is None else two
         return np.array([u["seq"] for u in later])[j], np.array([u["line"] for u in later])[j], cosine, np.array([u["line"] for u in one])[i]
 
+    def table(files: pa.Array, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        k, seq, line, cosine, other = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([files.take(pa.array(k)).cast(pa.string()), pa.array(seq, pa.int32()), pa.array(line, pa.int32()), pa.array(cosine), pa.array(other, pa.int32())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, one, two in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                seq, line, cosine, other = pairs_of(one, two)
+            files, ones, twos = (batch.column(k) for k in range(3))
+            found, held = [], 0
+            for k in range(batch.num_rows):
+                seq, *rest = pairs_of(ones[k].as_py(), twos[k].as_py())
                 if len(seq):
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(seq), pa.string()), pa.array(seq, pa.int32()), pa.array(line, pa.int32()), pa.array(cosine), pa.array(other, pa.int32())], names=names)
+                    found.append((np.full(len(seq), k), seq, *rest))
+                    held += len(seq)
+                if found and (held >= PAIRS or k + 1 == batch.num_rows):
+                    yield table(files, found)
+                    found, held = [], 0
 
     runs = F.ceil(F.size("us") / tile).cast("int")
-    us = docs.withColumn("us", fenced(F.col("us")))
+    us, many = (x.withColumn("us", fenced(F.col("us"))) for x in (docs, docs if large is None else large))
     short = us.where((F.size("us") > 1) & (F.size("us") <= tile)).select("file", "us", F.lit(None).cast(docs.schema["us"].dataType).alias("more"))
-    long = us.where(F.size("us") > tile).select("file", "us", runs.alias("runs"), F.explode(F.sequence(F.lit(0), runs - 1)).alias("lo"))
+    long = many.where(F.size("us") > tile).select("file", "us", runs.alias("runs"), F.explode(F.sequence(F.lit(0), runs - 1)).alias("lo"))
     long = long.select("file", "us", "lo", F.explode(F.sequence("lo", F.col("runs") - 1)).alias("hi"))
     cut = lambda k: F.slice("us", k * tile + 1, F.lit(tile))
     long = long.select("file", cut(F.col("lo")).alias("us"), F.when(F.col("hi") > F.col("lo"), cut(F.col("hi"))).alias("more"), "lo", "hi").repartition("file", "lo", "hi").drop("lo", "hi")

@@ -36,9 +36,10 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, text."""
+def corpus(spark: SparkSession, sf_dir: str, large: bool = False) -> DataFrame:
+    """file, text. large: those alone that may have very many units, and some more; neither form is over twice as long as its row's text."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = docs.where(rules.may_be_large(F.col("text"), rules.TILE // 2)) if large else docs
     plain: Column = F.replace(swapped(F.col("text"), *oracle.MARKS), F.lit("\n"), F.lit("\n\n"))
     name = lambda x: F.concat(F.lit(x), F.col("doc_id").cast("string")).alias("file")
     a = docs.select(name("a"), plain.alias("text"))
@@ -78,6 +79,11 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(scoped(spark, sf_dir), "units").select("file", "line", "seq", "text", "is_bullet")
 
 
+def near_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.near_duplicate(scoped(spark, sf_dir), config(), large=scopes(corpus(spark, sf_dir, large=True)))
+    return found.select("file", "line", F.round("value", 6).alias("value"), "word")
+
+
 def metaphor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.metaphor_counts(scoped(spark, sf_dir), config()).where("total > 0").select("file", "sentences", "total", "line", "vocabulary")
 
@@ -156,7 +162,8 @@ def queries() -> dict[str, Query]:
         "sentences": sentences,
         "units": units,
         **{n: _rule(getattr(rules, n)) for n in "sentence_length max_ten double_negative hedge_pileup demonstrative_chain no_chain verbose_potential kanji_run exclamation style_mixing".split()},
-        **{n: _rule(getattr(rules, n)) for n in "bullet_template colon_continuation connector_pileup opener_repetition latin_density verb_calque bits_per_char low_information_density near_duplicate".split()},
+        **{n: _rule(getattr(rules, n)) for n in "bullet_template colon_continuation connector_pileup opener_repetition latin_density verb_calque bits_per_char low_information_density".split()},
+        "near_duplicate": near_duplicate,
         "latin_density_all_units": _rule(every),
         "latin_token_runs": _rule(rules.latin_token, register="consume"),
         **{n: _rule(getattr(rules, n)) for n in "flat_rhythm uniform_paragraphs stylometric_uniformity metaphor_density arrow fullwidth_eq paren_nakaten unterminated_prose missing_counter".split()},

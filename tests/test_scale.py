@@ -62,3 +62,18 @@ def test_latin_runs_judge_words_by_what_stands_around_them(spark):
     lines = ["".join(rng.choice(["ab", "cde", "A", "B", "-", "1", "_", "/", " ", " ", "　", "の", "doi:", "DOI:", "Doi", ":", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
     got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", latin_runs(F.col("x")).alias("runs")).collect()
     assert [list(r["runs"]) for r in got] == [plain(r["x"]) for r in got]
+
+
+def test_long_documents_alone_are_made_twice_for_near_duplicates(spark):
+    from pyspark.sql import functions as F
+
+    from prosegrain.config import Config
+    from prosegrain.operators import rules
+    from prosegrain.operators.scopes import scopes
+    from prosegrain.plans.fixtures import PARA
+
+    docs = spark.createDataFrame([("long", f"{PARA}\n\n{PARA}\n\n{PARA}"), ("short", f"{PARA}\n\n{PARA}"), ("none", "短い。")], "file string, text string")
+    large = docs.where(rules.may_be_large(F.col("text"), 2))
+    assert [r["file"] for r in large.collect()] == ["long"]
+    want = sorted(map(tuple, rules.near_duplicate(scopes(docs), Config(), 2).collect()))
+    assert len(want) == 4 and sorted(map(tuple, rules.near_duplicate(scopes(docs), Config(), 2, scopes(large)).collect())) == want
